@@ -173,8 +173,9 @@ SQL: dict[str, tuple[tuple[str, ...], str, str | None]] = {
                   AND NOT regexp_matches(query, '(?i)^\s*(https?://|ftp://|www\.)\S*')))""", None),
     "frequency": (("hourly",), """SELECT ngram, hour, count(*) AS "count" FROM hourly GROUP BY ngram, hour""", None),
     "scored": (("frequency",), """
-        SELECT hour, ngram, ("count" - avg("count") OVER w) / nullif(stddev_pop("count") OVER w, 0) AS score,
-               "count", avg("count") OVER w AS mean
+        SELECT hour, ngram, "count", sum("count") OVER w / count(*) OVER w AS mean,
+               (count(*) OVER w * "count" - sum("count") OVER w)
+                 / nullif(sqrt(count(*) OVER w * sum("count" * "count") OVER w - sum("count") OVER w * sum("count") OVER w), 0) AS score
         FROM frequency WINDOW w AS (PARTITION BY ngram)""", None),
     "lines": ((), """
         SELECT source, doc_id * 1048576 + generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS line

@@ -55,11 +55,14 @@ def ngrams(c: Column | str, sizes: Sequence[int] = (1, 2)) -> Column:
 
 
 def _grams(words: Column, n: int) -> Column:
-    if n == 1:
-        return words
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-    joined = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.coalesce(joined, F.array().cast("array<string>"))
+    """All runs of n words. The array is walked once per size, never looked up by index inside a lambda:
+    Spark works the array out again for every element there."""
+    grams = words
+    for size in range(2, n + 1):
+        many = F.greatest(F.size(words) - (size - 1), F.lit(0))
+        grams = F.zip_with(F.slice(grams, F.lit(1), many), F.slice(words, F.lit(size), many),
+                           lambda a, b: F.concat(a, F.lit(" "), b))
+    return grams
 
 
 def shell_quote(c: Column | str, quote: str = "'") -> Column:

@@ -100,8 +100,8 @@ def definitions_of_lines(lines: DataFrame, root_path: str) -> DataFrame:
     A directory is a scope under the directory above; a job is a scope under its directory. Files under
     excluded or hidden names are left out. In one directory, config files later in name order win.
     """
-    root = F.lit(root_path.rstrip("/").split("://")[-1].lstrip("/"))
-    relative = F.substring_index(F.col("path"), F.concat(root, F.lit("/")), -1)
+    root = root_path.rstrip("/").split("://")[-1] + "/"
+    relative = F.substr("path", F.instr("path", F.lit(root)) + len(root))
     parts = F.split(relative, "/")
     name = F.element_at(parts, -1)
     folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
