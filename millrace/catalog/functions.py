@@ -47,7 +47,8 @@ def fn_extract_hour(t):
     SELECT doc_id, gram FROM (SELECT DISTINCT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram
       FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM documents))""".replace("\\\\", "\\"))
 def fn_ngrams(t):
-    return t.documents.select("doc_id", F.explode(text.ngrams("text")).alias("gram"))
+    return t.documents.select("doc_id", text.words("text").alias("words")).select(
+        "doc_id", F.explode(text.ngrams("words")).alias("gram"))
 
 
 @query("fn_shell_quote", r"""SELECT event_id, '"' || replace(props, '"', '\"') || '"' AS quoted FROM events""")

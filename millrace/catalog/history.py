@@ -67,7 +67,7 @@ def late_schedules(t):
     WITH failures AS (SELECT DISTINCT run % 50 AS flow, job FROM runs WHERE NOT succeeded),
     tails AS (SELECT source, string_agg(line, chr(10) ORDER BY pos) AS tail FROM (
         SELECT * FROM lines WHERE length(trim(line)) > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY pos DESC) <= 60) GROUP BY source)
-    SELECT flow, CAST(row_number() OVER (PARTITION BY flow ORDER BY f.job) AS INTEGER) AS number, f.job,
+    SELECT flow, CAST(row_number() OVER (PARTITION BY flow ORDER BY f.job) AS BIGINT) AS number, f.job,
            ' Job ' || row_number() OVER (PARTITION BY flow ORDER BY f.job) || '. ' || f.job || ':' || chr(10) || 'failed' || chr(10)
            || 'See log in http://logs/' || l.log || chr(10) || chr(10) || 'The last 60 lines in the log are:' || chr(10) || t.tail AS text
     FROM failures f JOIN latest l ON l.job = f.job JOIN tails t ON t.source = l.log""", ("latest", "lines"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.catalog.registry import query
@@ -61,25 +60,17 @@ def tail_bytes(t):
     SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) AS BIGINT) AS rank
     FROM orders""")
 def sort_rows(t):
-    # The rank is how a check that ignores row order can see it: written in order, then numbered by file.
-    from millrace.session import scratch_path
-    from millrace.operators import blocks
-    path = scratch_path(t.spark, "sorted")
-    ordering.sort_rows(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", reverse=True) \
-        .write.parquet(path)
-    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint")
-    rows = t.spark.read.parquet(path).select("o_orderkey", "o_totalprice", part.alias("part"),
-                                             F.monotonically_increasing_id().alias("pos"))
-    return blocks.numbered(rows, [], "pos", "rank", width="part").select("o_orderkey", "o_totalprice", "rank")
+    # The rank shows the order to a check that takes rows in any order.
+    prices = t.orders.select("o_orderkey", "o_totalprice")
+    return ordering.ranked(prices, [], [F.col("o_totalprice").desc(), F.col("o_orderkey").desc()])
 
 
 @query("order_by_hour_score", """
-    SELECT hour, ngram, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY hour ORDER BY round(score, 6), ngram) AS INTEGER) AS rank
+    SELECT hour, ngram, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY hour ORDER BY round(score, 6), ngram) AS BIGINT) AS rank
     FROM scored WHERE score > 3.0""", ("scored",))
 def order_by_hour_score(t):
     scores = phrases.phrase_scores(phrases.hour_frequency(phrases.hourly_ngrams(t.query_log))).filter("score > 3.0")
-    ordered = ordering.sort_rows(scores.select("hour", "ngram", F.round("score", 6).alias("score")), "hour", "score", "ngram")
-    return ordered.withColumn("rank", F.row_number().over(W.partitionBy("hour").orderBy("score", "ngram")))
+    return ordering.ranked(scores.select("hour", "ngram", F.round("score", 6).alias("score")), ["hour"], ["score", "ngram"])
 
 
 @query("consecutive_uniq", """

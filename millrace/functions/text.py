@@ -45,13 +45,18 @@ def tokens(c: Column | str) -> Column:
     return F.split(_col(c), r"\s+", -1)
 
 
-def ngrams(c: Column | str, sizes: Sequence[int] = (1, 2)) -> Column:
-    """The distinct word n-grams of a text, words joined by one space.
+def words(c: Column | str) -> Column:
+    """The words of a text: what stands between white space."""
+    return F.array_remove(F.split(_col(c), r"\s+", -1), "")
 
-    Which sizes count as a phrase is our own definition, hence a parameter.
+
+def ngrams(word_array: Column | str, sizes: Sequence[int] = (1, 2)) -> Column:
+    """The distinct n-grams of an array of words, joined by one space.
+
+    Which sizes count as a phrase is our own definition, hence a parameter. Give the words as a column of
+    their own: an expression would be worked out once for every time it is used here.
     """
-    words = F.filter(F.split(_col(c), r"\s+", -1), lambda w: w != "")
-    return F.array_distinct(F.concat(*[_grams(words, n) for n in sizes]))
+    return F.array_distinct(F.concat(*[_grams(_col(word_array), n) for n in sizes]))
 
 
 def _grams(words: Column, n: int) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.config_values import as_list
-from millrace.operators.ordering import top_per_key
 from millrace.session import written
 
 
@@ -188,7 +187,3 @@ def rebuilt(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
              .unionByName(documents.select(F.col("id").alias("flow"), F.explode("root").alias("job"))).distinct())
     return nodes, edges, named.join(nodes, ["flow", "job"], "left_anti")
 
-
-def latest_levels(levels_table: DataFrame, n: int = 1) -> DataFrame:
-    """The n jobs on top of each level by name, for a quick look at a layout."""
-    return top_per_key(levels_table, ["level"], [F.col("job").asc()], n)

@@ -1,8 +1,9 @@
 """Grouping operators.
 
 Built-in aggregates are combined before the shuffle by Spark itself. A user's own accumulator gets the
-same treatment from ``merge_by_key``: rows are merged inside each input partition, then per (key, salt),
-then per key. No step ever holds a whole group, so a key with a third of all rows costs no more than others.
+same treatment from ``merge_by_key``: rows are merged inside each input partition, shuffled once, and merged
+again as they stream by in key order. No step ever holds a whole group, so a key with a third of all rows
+reaches its task as a few merged rows per input partition.
 """
 
 from __future__ import annotations
@@ -13,9 +14,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SALTS = 64
 HELD_ROWS = 100_000
 
 # Accumulators with a built-in aggregate of the same result.
@@ -25,38 +24,59 @@ BUILT_IN = {"+": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "and": F.bool_
 Merge = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def merge_by_key(df: DataFrame, keys: Sequence[str], merge: Merge, salts: int = SALTS,
-                 held: int = HELD_ROWS) -> DataFrame:
+def merge_by_key(df: DataFrame, keys: Sequence[str], merge: Merge, held: int = HELD_ROWS) -> DataFrame:
     """One row per key, by a ``merge`` of your own.
 
-    ``merge`` takes rows of the table (several keys mixed) and returns at most one row per key in the same
-    columns. It must give the same result however the rows are split up and ordered.
+    ``merge`` takes rows of the table (several keys mixed) and returns one row per key in the same columns.
+    It must give the same result however the rows are split up and ordered.
     """
-    schema = df.schema
-    salted = T.StructType(schema.fields + [T.StructField("_salt", T.IntegerType())])
+    keys = list(keys)
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        # pandas turns a column of nothing but nulls into numbers, which do not fit a text column.
+        return merge(rows).astype({c: object for c in rows.columns if rows[c].dtype == object})
 
     def in_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for batch in batches:
-            if batch.empty:
-                continue
-            kept = merge(batch if kept is None else pd.concat([kept, batch], ignore_index=True))
-            if len(kept) > held:
-                yield kept
-                kept = None
-        if kept is not None:
-            yield kept
-
-    def in_group(rows: pd.DataFrame) -> pd.DataFrame:
-        salt = rows["_salt"].iloc[0]
-        out = merge(rows.drop(columns="_salt"))
-        return out.assign(_salt=salt)
-
-    # The salt is the partition a row was merged in: the same again when a lost task is run once more.
-    partial = (df.mapInPandas(in_partition, schema)
-               .withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts))))
-    per_salt = partial.groupBy(*keys, "_salt").applyInPandas(in_group, salted).drop("_salt")
-    return per_salt.groupBy(*keys).applyInPandas(merge, schema)
+        for rows in gathered(batches, held):
+            yield merged(rows)
+
+    def in_key_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key = None  # what has been merged of the key that the last batch ended in
+        for batch in gathered(batches, held):
+            rows = batch if open_key is None else pd.concat([open_key, batch], ignore_index=True)
+            last = _same_key(rows, keys, batch.iloc[-1])
+            if not last.all():
+                yield merged(rows[~last])
+            open_key = merged(rows[last])
+        if open_key is not None:
+            yield open_key
+
+    partial = df.mapInPandas(in_partition, df.schema)
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(in_key_order, df.schema)
+
+
+def gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches put together until they hold ``rows`` rows."""
+    kept: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        if batch.empty:
+            continue
+        kept.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield pd.concat(kept, ignore_index=True)
+            kept, size = [], 0
+    if kept:
+        yield pd.concat(kept, ignore_index=True)
+
+
+def _same_key(rows: pd.DataFrame, keys: list[str], row: pd.Series) -> pd.Series:
+    same = pd.Series(True, index=rows.index)
+    for key in keys:
+        value = row[key]
+        same &= rows[key].isna() if pd.isna(value) else rows[key] == value
+    return same
 
 
 def pairwise(keys: Sequence[str], accumulators: Mapping[str, Callable]) -> Merge:
@@ -161,8 +181,3 @@ def _pick(df: DataFrame, keys: Sequence[str], position: str, pick) -> DataFrame:
     return (df.groupBy(*keys).agg(pick(F.struct(*rest), F.col(position)).alias("_row"))
             .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]))
 
-
-def as_map(df: DataFrame, keys: Sequence[str], name: str, value: str, out: str) -> DataFrame:
-    """Key/value rows as one map per group. The size of a map is the number of distinct names in its group."""
-    entry = F.struct(F.col(name), F.col(value))
-    return df.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(out))

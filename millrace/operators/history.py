@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace import fixed_values as fixed
@@ -112,7 +111,7 @@ def fail_report(errors: DataFrame, runs: DataFrame, logs: DataFrame, url: str,
 
 def number_in_flow(errors: DataFrame) -> DataFrame:
     """Number the errors of each flow from 1 by job name."""
-    return errors.withColumn("number", F.row_number().over(W.partitionBy("flow").orderBy("job")))
+    return ordering.ranked(errors, ["flow"], ["job"], "number")
 
 
 def next_runs(schedules: DataFrame, now: Column) -> DataFrame:

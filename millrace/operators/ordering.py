@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace import fixed_values as fixed
 from millrace.operators import blocks
+from millrace.session import scratch_path
 
 SALTS = 64
 
@@ -48,11 +49,11 @@ def tail_bytes(lines: DataFrame, limit: int = fixed.TAIL_BYTES, source: str = "s
     """The whole lines within the last ``limit`` bytes of each source. A line counts its newline."""
     sized = lines.withColumn("_bytes", (F.octet_length(text) + 1).cast("bigint"))
     summed = blocks.running_sum(sized, [source], pos, "_bytes", "_from_end", width, from_end=True, stop_at=limit)
-    total = sized.groupBy(source).agg(F.sum("_bytes").alias("_size"))
+    total = sized.groupBy(F.col(source).alias("_of")).agg(F.sum("_bytes").alias("_size"))
     # A file cut inside a line starts at the next full one; a cut right before a line drops that line too.
-    return (summed.join(total, source)
+    return (summed.join(total, F.col(source).eqNullSafe(F.col("_of")))
             .filter((F.col("_from_end") < limit) | (F.col("_size") <= limit))
-            .drop("_bytes", "_from_end", "_size"))
+            .drop("_bytes", "_from_end", "_of", "_size"))
 
 
 def row_slice(rows: DataFrame, start: int = 1, end: int = fixed.PREVIEW_ROWS, source: str = "source",
@@ -80,6 +81,20 @@ def consecutive_uniq(rows: DataFrame, keys: Sequence[str], pos: str, value: Colu
     return blocks.first_of_runs(rows, keys, pos, value, width)
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str = "rank") -> DataFrame:
+    """Number the rows of each key from 1 in any order, without a task per key.
+
+    The table is sorted by range and written; the files then are the blocks in which rows are counted.
+    """
+    name, path = "_part", scratch_path(df.sparkSession, "ranked")
+    df.orderBy(*keys, *order).write.parquet(path)
+    part = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("file"),
+                    F.col("_metadata.file_block_start").alias("start"))
+    rows = (df.sparkSession.read.schema(df.schema).parquet(path)
+            .select(*df.columns, part.alias(name), F.monotonically_increasing_id().alias("_pos")))
+    return blocks.numbered(rows, keys, "_pos", out, width=name).drop(name, "_pos")
+
+
 def sort_rows(df: DataFrame, *order: Column | str, reverse: bool = False) -> DataFrame:
     """Sorted by range over all tasks."""
     columns = [F.col(c) if isinstance(c, str) else c for c in order]

@@ -82,7 +82,7 @@ def parse_flows(documents: DataFrame, column: str = "document") -> DataFrame:
 
 def read_flows(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
     """One document per file ``<id>.json``, or one per line of such files; other files are not read."""
-    files = spark.read.option("wholetext", str(one_per_file).lower()).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=one_per_file)
     return parse_flows(files.withColumnRenamed("value", "document"))
 
 
