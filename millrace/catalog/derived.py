@@ -134,7 +134,7 @@ class Tables:
     @property
     def flow_documents(self) -> DataFrame:
         """(document): one JSON document per flow of three jobs; the first job needs the other two."""
-        state = F.struct(F.lit("jobManagerLoaded").alias("type"), F.col("job").alias("name"), "status",
+        state = F.struct(F.lit("job").alias("type"), F.col("job").alias("name"), "status",
                          F.col("flow").cast("string").alias("id"), F.create_map(F.lit("given"), F.col("job")).alias("overrideProps"),
                          F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss").alias("startTime"),
                          F.date_format("end_time", "yyyy-MM-dd'T'HH:mm:ss").alias("endTime"))
@@ -150,7 +150,7 @@ class Tables:
         flow = F.struct(F.map_from_entries("m").alias("jobs"), F.array(first).alias("root"),
                         F.create_map(first, rest).alias("dependencies"), F.col("flow").cast("string").alias("id"))
         return flows.select(F.to_json(F.struct(
-            F.lit("FlowExecutionHolder").alias("type"), flow.alias("flow"),
+            F.lit("flow").alias("type"), flow.alias("flow"),
             F.create_map(F.lit("flow"), F.col("flow").cast("string")).alias("parentProps"))).alias("document"))
 
 

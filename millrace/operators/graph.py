@@ -66,21 +66,23 @@ def closure(seeds: DataFrame, edges: DataFrame, tags: tuple[str, ...] = (), only
 def _peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Levels of the nodes that can be peeled off, and the edges that stay because of a cycle.
 
-    A node is peeled once all it needs has been; its level is the length of the longest path below it.
-    Each edge leaves the table in the round that peels its dependency, so rounds get smaller.
+    A node is peeled once all it needs has been; its level is the length of the longest path below it. Each
+    round marks the edges to what was peeled last, in one join and one write, and drops them from the next
+    round, so rounds get smaller.
     """
     left = written(edges.select("job", "dep").distinct(), "edges")
-    layer = written(nodes.select("job").distinct().join(left, "job", "left_anti")
-                    .withColumn("level", F.lit(0)), "level")
-    layers = [layer]
-    while not layer.isEmpty():
-        peeled = layer.select(F.col("job").alias("dep"))
-        touched = left.join(peeled, "dep", "left_semi").select("job").distinct()
-        left = written(left.join(peeled, "dep", "left_anti").select("job", "dep"), "edges")
-        layer = written(touched.join(left, "job", "left_anti")
-                        .withColumn("level", F.lit(len(layers))), "level")
-        layers.append(layer)
-    return reduce(DataFrame.unionByName, layers), left
+    layer = written(nodes.select("job").distinct().join(left, "job", "left_anti"), "level")
+    layers = [layer.withColumn("level", F.lit(0))]
+    while True:
+        peeled = layer.select(F.col("job").alias("dep"), F.lit(True).alias("_peeled"))
+        marked = written(left.join(peeled, "dep", "left")
+                         .select("job", "dep", F.coalesce("_peeled", F.lit(False)).alias("_done")), "edges")
+        left = marked.filter("NOT _done").select("job", "dep")
+        if marked.filter("_done").isEmpty():
+            return reduce(DataFrame.unionByName, layers), left
+        # Edges that were done in earlier rounds are gone, so what counts is that those still here are.
+        layer = marked.groupBy("job").agg(F.bool_and("_done").alias("_all")).filter("_all").select("job")
+        layers.append(layer.withColumn("level", F.lit(len(layers))))
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -321,20 +321,20 @@ def test_ready_treats_ignored_as_done(spark, rows):
 
 def test_interpolation(spark, rows):
     entries = spark.createDataFrame([
-        ("s", "firstName", "Francesco"), ("s", "lastName", "Estaban"),
-        ("s", "fillIn", "the guilty party is ${firstName} ${lastName}"), ("s", "twice", "${fillIn}! ${fillIn}"),
-        ("s", "made", "${first${part}}"), ("s", "part", "Name"), ("s", "money", "$5 \\ ${part}"),
+        ("s", "givenName", "Ada"), ("s", "familyName", "Byron"),
+        ("s", "card", "signed by ${givenName} ${familyName}"), ("s", "twice", "${card}! ${card}"),
+        ("s", "made", "${given${part}}"), ("s", "part", "Name"), ("s", "money", "$5 \\ ${part}"),
         ("s", "lost", "see ${nowhere}"), ("s", "a", "${b}"), ("s", "b", "x${c}"), ("s", "c", "${b}"),
-        ("s", "own", "${own}"), ("t", "fillIn", "${firstName}")], "scope string, key string, value string")
+        ("s", "own", "${own}"), ("t", "card", "${givenName}")], "scope string, key string, value string")
     out = {(r.scope, r.key): (r.value, r.problem) for r in config.interpolate(entries).collect()}
     assert len(out) == 13
-    party = "the guilty party is Francesco Estaban"
-    assert out["s", "fillIn"] == (party, None)
-    assert out["s", "twice"] == (f"{party}! {party}", None)
-    assert out["s", "made"] == ("Francesco", None)
+    card = "signed by Ada Byron"
+    assert out["s", "card"] == (card, None)
+    assert out["s", "twice"] == (f"{card}! {card}", None)
+    assert out["s", "made"] == ("Ada", None)
     assert out["s", "money"] == ("$5 \\ Name", None)
     assert out["s", "lost"][1] == "unknown: nowhere"
-    assert out["t", "fillIn"][1] == "unknown: firstName"
+    assert out["t", "card"][1] == "unknown: givenName"
     for key in ("a", "b", "c", "own"):
         assert out["s", key][1].startswith("circular: ")
 

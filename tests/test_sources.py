@@ -80,21 +80,21 @@ def test_run_history(spark, tmp_path, rows):
 def test_job_definitions(spark, tmp_path, rows):
     put(tmp_path, "common.properties", "zone=top\nowner: me\n")
     put(tmp_path, "sub/x.schema", "zone = sub\n")
-    put(tmp_path, "sub/push-job.job", "# job\ntype=push\ndependencies=fail-job,test-job")
-    put(tmp_path, "other/push-job.job", "type=twin\n")
+    put(tmp_path, "sub/ship.job", "# job\ntype=push\ndependencies=load,clean")
+    put(tmp_path, "other/ship.job", "type=twin\n")
     put(tmp_path, "sub/__MACOSX/y.job", "type=none\n")
     put(tmp_path, "sub/notes.txt", "zone=ignored\n")
     out = records.read_job_definitions(spark, str(tmp_path))
     assert rows(out, "scope", "parent", "key", "value") == sorted([
         ("dir:", None, "zone", "top"), ("dir:", None, "owner", "me"), ("dir:sub", "dir:", "zone", "sub"),
-        ("job:sub/push-job.job", "dir:sub", "type", "push"),
-        ("job:sub/push-job.job", "dir:sub", "dependencies", "fail-job,test-job"),
-        ("job:other/push-job.job", "dir:other", "type", "twin")], key=repr)
-    assert rows(records.duplicate_definitions(out)) == [("push-job", 2)]
+        ("job:sub/ship.job", "dir:sub", "type", "push"),
+        ("job:sub/ship.job", "dir:sub", "dependencies", "load,clean"),
+        ("job:other/ship.job", "dir:other", "type", "twin")], key=repr)
+    assert rows(records.duplicate_definitions(out)) == [("ship", 2)]
 
 
 def test_flow_documents_one_per_file(spark, tmp_path, rows):
-    put(tmp_path, "7.json", '{"type":"FlowExecutionHolder",\n"flow":{"jobs":{"a":{"status":"RUNNING","name":"a"}},'
+    put(tmp_path, "7.json", '{"type":"flow",\n"flow":{"jobs":{"a":{"status":"RUNNING","name":"a"}},'
                             '"root":["a"],"dependencies":{},"id":"7"},"parentProps":{}}')
     put(tmp_path, "notes.txt", "x")
     out = records.read_flows(spark, str(tmp_path))
