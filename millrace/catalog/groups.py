@@ -78,19 +78,19 @@ def sum_of_squares(t):
 
 
 @query("friends_by_profile", """
-    SELECT n.c_nationkey AS profile_id, n.num_friends, c_custkey % n.pieces AS piece,
-           string_agg(c_name, '' ORDER BY c_name) AS friends_names_mashed
-    FROM customer c JOIN (SELECT c_nationkey, CAST(count(*) AS INTEGER) AS num_friends, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS pieces
-                          FROM customer WHERE c_mktsegment <> 'MACHINERY' GROUP BY c_nationkey) n ON n.c_nationkey = c.c_nationkey
-    WHERE c_mktsegment <> 'MACHINERY' GROUP BY ALL""")
+    SELECT profile_id, num_friends, (place - 1) // 1000 AS piece, string_agg(c_name, '' ORDER BY place) AS friends_names_mashed
+    FROM (SELECT c_nationkey AS profile_id, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey) AS place,
+                 CAST(count(*) OVER (PARTITION BY c_nationkey) AS INTEGER) AS num_friends
+          FROM customer WHERE c_mktsegment <> 'MACHINERY') GROUP BY ALL""")
 def friends_by_profile(t):
     friends = t.customer.filter("c_mktsegment <> 'MACHINERY'").select(
         F.col("c_nationkey").alias("profile_id"), "c_custkey", "c_name")
     counts = groups.group_fold(friends, ["profile_id"], [("num_friends", F.lit(1), "+", "int")])
-    pieces = groups.in_pieces(friends, ["profile_id"], "c_custkey", 1000)
-    names = pieces.groupBy("profile_id", "piece").agg(
-        F.array_join(F.array_sort(F.collect_list("c_name")), "").alias("friends_names_mashed"))
-    return counts.join(names, "profile_id").select("profile_id", "num_friends", "piece", "friends_names_mashed")
+    # At most a thousand names are gathered at a time.
+    names = (groups.in_pieces(friends, ["profile_id"], ["c_name", "c_custkey"], 1000).groupBy("profile_id", "piece")
+             .agg(F.array_sort(F.collect_list(F.struct("rank", "c_name"))).alias("names")))
+    mashed = F.array_join(F.transform("names", lambda x: x["c_name"]), "")
+    return counts.join(names, "profile_id").select("profile_id", "num_friends", "piece", mashed.alias("friends_names_mashed"))
 
 
 @query("word_count", r"""

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ordering import ranked
+
 HELD_ROWS = 100_000
 
 # Accumulators with a built-in aggregate of the same result.
@@ -143,17 +145,14 @@ def reduce_groups(df: DataFrame, keys: Sequence[str], start: Callable[[pd.DataFr
     return merge_by_key(states, keys, merge).mapInPandas(each(finish), schema)
 
 
-def in_pieces(df: DataFrame, keys: Sequence[str], number: str, rows_per_piece: int = 10_000) -> DataFrame:
-    """Add ``piece``: cuts a large group into pieces of about ``rows_per_piece`` rows by a whole number column.
+def in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_piece: int = 10_000) -> DataFrame:
+    """Add ``rank`` and ``piece``: the place of a row in its group, and the piece of the group it falls in.
 
-    For results that gather a group into one value: gather per (key, piece) instead, and nothing is lost.
+    For results that gather a group into one value: gather per (key, piece) instead. A piece has at most
+    ``rows_per_piece`` rows, and the pieces in order are the whole group in order.
     """
-    pieces = (df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_piece).alias("_pieces"))
-              .filter("_pieces > 1"))
-    left, right = df.alias("l"), pieces.alias("r")
-    same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
-    return (left.join(right, same, "left")
-            .select("l.*", F.pmod(F.col(f"l.{number}"), F.coalesce("r._pieces", F.lit(1))).alias("piece")))
+    return (ranked(df, keys, order)
+            .withColumn("piece", F.call_function("div", F.col("rank") - 1, F.lit(rows_per_piece))))
 
 
 def grouped_order(df: DataFrame, keys: Sequence[str], then: Sequence[str] = (), parts: int | None = None) -> DataFrame:

@@ -68,10 +68,7 @@ def row_slice(rows: DataFrame, start: int = 1, end: int = fixed.PREVIEW_ROWS, so
     last = end if inclusive else end - 1
     out = numbered.filter(F.col("row").between(start, last))
     if chars_of is not None:
-        # At most end - start + 1 rows per source are left here.
-        so_far = W.partitionBy(source).orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow)
-        out = (out.withColumn("_chars", F.sum(F.length(chars_of)).over(so_far))
-               .filter(F.col("_chars") < max_chars).drop("_chars"))
+        out = blocks.running_sum(out, [source], "row", F.length(chars_of), "_chars", stop_at=max_chars - 1).drop("_chars")
     return out
 
 
@@ -88,7 +85,8 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], ou
     """
     name, path = "_part", scratch_path(df.sparkSession, "ranked")
     df.orderBy(*keys, *order).write.parquet(path)
-    part = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("file"),
+    part = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"),
+                    F.regexp_extract("_metadata.file_name", r"-c(\d+)", 1).try_cast("int").alias("file"),
                     F.col("_metadata.file_block_start").alias("start"))
     rows = (df.sparkSession.read.schema(df.schema).parquet(path)
             .select(*df.columns, part.alias(name), F.monotonically_increasing_id().alias("_pos")))

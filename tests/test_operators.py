@@ -185,9 +185,13 @@ def test_merge_by_key_over_many_batches(hot, rows, spark):
 
 def test_in_pieces_loses_nothing(hot, rows):
     data, df = hot
-    out = groups.in_pieces(df, ["key"], "pos", 100)
-    assert out.count() == len(data)
-    assert out.filter("key = 'hot'").select("piece").distinct().count() > 5
+    out = groups.in_pieces(df, ["key"], ["pos"], 100).collect()
+    assert sorted(((r.key, r.pos, r.v) for r in out), key=repr) == sorted(data, key=repr)
+    sizes = defaultdict(int)
+    for r in out:
+        sizes[r.key, r.piece] += 1
+    assert max(sizes.values()) == 100
+    assert len([k for k in sizes if k[0] == "hot"]) == -(-sum(1 for d in data if d[0] == "hot") // 100)
 
 
 def test_rename_order_matters(spark):
