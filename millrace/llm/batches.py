@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch that are worked on at once. Spark itself bounds a batch by rows and bytes
 #: (``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``maxBytesPerBatch``).
@@ -15,7 +16,7 @@ SLICE_BYTES = 8 << 20
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch],
-                schema: str) -> DataFrame:
+                schema: str | T.StructType) -> DataFrame:
     """``fn`` over slices of every partition; a slice holds whole rows and about ``SLICE_BYTES``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import packing, token_counts, token_files
+from millrace.llm import line_dedup, near_dedup, packing, sharding, token_counts, token_files, vector_search
 from millrace.session import scratch_path
 
 
@@ -21,6 +22,29 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.digests(spark, path)
 
 
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    # A null text has no bytes; its size is the one byte that every row adds.
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = documents(spark, folder).select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),
+                                           F.crc32(text).alias("text_crc32"))
+    return sharding.shuffle(rows, shards=8).select("value.*", F.lit("rows").alias("law"), "shard", "slot",
+                                                   F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_search.search(spark.read.parquet(f"{folder}/embeddings.parquet"), F.expr("vec_id % 50 = 0"), k=5)
+
+
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, folder), size=2, percent=80).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup(documents(spark, folder).select("doc_id", "text")).select(
+        "value.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,11 +55,54 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_sharding": op2_sharding,
+    "op3_vector_search": op3_vector_search,
+    "op6_near_dedup": op6_near_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+#: Every other row against each query, whole; few enough at the sizes that the comparison uses.
+VECTOR_SEARCH = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+LINE_DEDUP = """
+WITH docs AS (
+    SELECT coalesce(doc_id, 9223372036854775807) AS doc, doc_id, coalesce(text, '') AS text,
+           row_number() OVER () AS r
+    FROM documents
+), lines AS (
+    SELECT r, doc, doc_id, unnest(string_split(text, chr(10))) AS line,
+           generate_subscripts(string_split(text, chr(10)), 1) AS pos
+    FROM docs
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), repeated AS (
+    SELECT key, min(doc) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING min(doc) < max(doc)
+), marked AS (
+    SELECT k.*, p.first IS NOT NULL AND k.doc > p.first AS dropped FROM keyed k LEFT JOIN repeated p USING (key)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count_if(dropped) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
+ORACLES: dict[str, str] = {"op3_vector_search": VECTOR_SEARCH, "op8_line_dedup": LINE_DEDUP}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
