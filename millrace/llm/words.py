@@ -10,7 +10,7 @@ import xxhash
 from millrace.llm import batches
 
 # Multipliers of a shingle's places: odd numbers from a fixed seed.
-_PLACES = np.random.default_rng(7).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLACES = np.random.default_rng(7).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,7 +44,7 @@ def window_hashes(words: np.ndarray, places: list[int]) -> np.ndarray:
         return words[:0]
     out = np.zeros(n, np.uint64)
     for p in places:
-        out += words[p:p + n] * _PLACES[p]
+        out += words[p:p + n] * PLACES[p]
     return mixed(out)
 
 
@@ -57,7 +57,7 @@ def shingle_sets(texts: pa.StringArray, size: int) -> list[np.ndarray]:
             out.append(np.unique(shingles[a:b - size + 1]))
         elif b > a:
             n = np.uint64(b - a)
-            out.append(mixed((words[a:b] * _PLACES[size:size + b - a]).sum(keepdims=True) + n))
+            out.append(mixed((words[a:b] * PLACES[size:size + b - a]).sum(keepdims=True) + n))
         else:
             out.append(words[:0])
     return out
