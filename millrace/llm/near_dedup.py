@@ -260,3 +260,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return rows.join(firsts, "label").select(
         "doc_id", "row", "n_shingles", F.col("first.doc_id").alias("component_id"),
         (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component. ``docs`` is a table as written: its rows are
+    numbered twice alike, once for the sketches and once to take the others out."""
+    others = written(near_duplicates(docs, size, percent).filter("not kept").select("row"), "others")
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("value")).withColumn(
+        "row", F.monotonically_increasing_id())
+    return numbered.join(others, "row", "left_anti").select("value.*")

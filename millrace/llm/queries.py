@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup, near_dedup, packing, sharding, token_counts, token_files, vector_search
+from millrace.llm import (decontamination, line_dedup, near_dedup, packing, quality, secrets, sharding, token_counts,
+                          token_files, vector_search)
 from millrace.session import scratch_path
 
 
@@ -35,11 +36,29 @@ def op3_vector_search(spark: SparkSession, folder: str) -> DataFrame:
     return vector_search.search(spark.read.parquet(f"{folder}/embeddings.parquet"), F.expr("vec_id % 50 = 0"), k=5)
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")
+                                        ).select("doc_id", "item_id", "n_words", "n_equal", "first_word", "last_word")
+
+
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(documents(spark, folder))
+
+
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, folder), size=2, percent=80).select(
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    net = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    doc_id = F.col("value.doc_id")
+    return quality.score(docs, net).select(
+        doc_id, quality.held_out(doc_id).alias("held_out"), "score",
+        F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup(documents(spark, folder).select("doc_id", "text")).select(
         "value.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -57,7 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_sharding": op2_sharding,
     "op3_vector_search": op3_vector_search,
+    "op4_decontamination": op4_decontamination,
+    "op5_secrets": op5_secrets,
     "op6_near_dedup": op6_near_dedup,
+    "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
@@ -102,7 +124,34 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count_if(dropped)
 FROM marked GROUP BY r
 """
 
-ORACLES: dict[str, str] = {"op3_vector_search": VECTOR_SEARCH, "op8_line_dedup": LINE_DEDUP}
+NEAR_DEDUP = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda w: w <> '') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+           ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+    FROM words
+), shingles AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+         AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), both_ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT r.a, l.b FROM reached r JOIN both_ways l ON r.b = l.a
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
+FROM sets s JOIN reached r ON s.doc_id = r.a GROUP BY s.doc_id, s.s
+"""
+
+ORACLES: dict[str, str] = {"op3_vector_search": VECTOR_SEARCH, "op6_near_dedup": NEAR_DEDUP,
+                           "op8_line_dedup": LINE_DEDUP}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
