@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.catalog.registry import query
@@ -27,8 +28,8 @@ def udf_scalar(t):
     SELECT l_suppkey, bit_or(1::BIGINT << l_linenumber) AS lines, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY l_suppkey""")
 def udaf_custom(t):
     return groups.group_fold(t.lineitem, ["l_suppkey"], [
-        ("lines", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("l_linenumber")), lambda a, b: a | b, "bigint"),
-        ("total", F.col("l_linenumber"), lambda a, b: a + b, "bigint")])
+        ("lines", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("l_linenumber")), np.bitwise_or, "bigint"),
+        ("total", F.col("l_linenumber"), np.add, "bigint")])
 
 
 @query("udtf_flatten", r"""

@@ -128,7 +128,7 @@ class Tables:
                   .otherwise(F.concat((n * 600).cast("string"), F.lit("s"))))
         return self.customer.select(
             F.concat(F.lit("job"), k).alias("name"),
-            F.timestamp_add("HOUR", k, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("start"),
+            F.timestamp_add("HOUR", k % 168, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("start"),
             period.alias("period"))
 
     @property
@@ -221,7 +221,7 @@ SQL: dict[str, tuple[tuple[str, ...], str, str | None]] = {
     "effective": (("seen",), """
         SELECT scope, key, value FROM seen QUALIFY row_number() OVER (PARTITION BY scope, key ORDER BY depth) = 1""", None),
     "schedules": ((), """
-        SELECT 'job' || c_custkey AS name, TIMESTAMP '2024-01-01' + to_hours(c_custkey) AS start,
+        SELECT 'job' || c_custkey AS name, TIMESTAMP '2024-01-01' + to_hours(c_custkey % 168) AS start,
                CASE c_custkey % 5 WHEN 0 THEN 'n' WHEN 1 THEN (c_custkey % 7 + 1) || 'd'
                  WHEN 2 THEN (c_custkey % 7 + 1) || 'h' WHEN 3 THEN (c_custkey % 7 + 1) * 10 || 'm'
                  ELSE (c_custkey % 7 + 1) * 600 || 's' END AS period FROM customer""", None),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def group_no_combine(t):
     SELECT l_suppkey, bit_xor(l_partkey) AS mixed FROM lineitem GROUP BY l_suppkey""")
 def combine_partial(t):
     keyed = t.lineitem.select("l_suppkey", F.col("l_partkey").alias("mixed"))
-    return groups.merge_by_key(keyed, ["l_suppkey"], groups.pairwise(["l_suppkey"], {"mixed": lambda a, b: a ^ b}))
+    return groups.merge_by_key(keyed, ["l_suppkey"], groups.pairwise(["l_suppkey"], {"mixed": np.bitwise_xor}))
 
 
 @query("reduce_group", """
@@ -51,10 +52,10 @@ def combine_partial(t):
     FROM events GROUP BY user_id HAVING count(*) > 1""")
 def reduce_group(t):
     def start(batch: pd.DataFrame) -> pd.DataFrame:
-        return batch.groupby("user_id", as_index=False).agg(n=("value", "size"), low=("value", "min"), high=("value", "max"))
+        return batch.groupby("user_id", as_index=False, dropna=False).agg(n=("value", "size"), low=("value", "min"), high=("value", "max"))
 
     def merge(states: pd.DataFrame) -> pd.DataFrame:
-        return states.groupby("user_id", as_index=False).agg({"n": "sum", "low": "min", "high": "max"})
+        return states.groupby("user_id", as_index=False, dropna=False).agg({"n": "sum", "low": "min", "high": "max"})
 
     def finish(states: pd.DataFrame) -> pd.DataFrame:
         kept = states[states["n"] > 1].rename(columns={"low": "least", "high": "greatest"})

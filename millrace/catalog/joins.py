@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.catalog.registry import query
 from millrace.operators import graph, groups, history, joins
 from millrace.operators.joins import JoinInput
 from millrace.plans import phrases
+from millrace.session import written
 
 
 @query("join_n_way", """
@@ -23,24 +25,21 @@ def join_n_way(t):
 
 
 @query("join_reduce", """
-    SELECT o_custkey, CAST(count(*) AS BIGINT) AS items, round(max(l_extendedprice), 2) AS dearest
-    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey""")
+    SELECT l_orderkey, CAST(count(*) AS BIGINT) AS items, round(max(l_extendedprice), 2) AS dearest
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY l_orderkey HAVING count(*) > 1""")
 def join_reduce(t):
-    import pandas as pd
-    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    joined = joins.join_inputs(["l_orderkey"], [
-        JoinInput(orders, ["o_custkey"]), JoinInput(t.lineitem, ["l_extendedprice"])], how="inner")
-
+    """Of each order with more than one item: how many, and the dearest."""
     def start(batch: pd.DataFrame) -> pd.DataFrame:
-        return batch.groupby("o_custkey", as_index=False).agg(items=("l_extendedprice", "size"),
-                                                              dearest=("l_extendedprice", "max"))
+        return batch.groupby("l_orderkey", as_index=False, dropna=False).agg(items=("l_extendedprice", "size"),
+                                                                             dearest=("l_extendedprice", "max"))
 
     def merge(states: pd.DataFrame) -> pd.DataFrame:
-        return states.groupby("o_custkey", as_index=False).agg({"items": "sum", "dearest": "max"})
+        return states.groupby("l_orderkey", as_index=False, dropna=False).agg({"items": "sum", "dearest": "max"})
 
-    schema = "o_custkey bigint, items bigint, dearest double"
-    out = groups.reduce_groups(joined.select("o_custkey", "l_extendedprice"), ["o_custkey"], start, schema, merge,
-                               lambda done: done, schema)
+    schema = "l_orderkey bigint, items bigint, dearest double"
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    out = joins.join_reduce(["l_orderkey"], [JoinInput(orders, ["o_custkey"]), JoinInput(t.lineitem, ["l_extendedprice"])],
+                            start, schema, merge, lambda done: done[done["items"] > 1], schema, how="inner")
     return out.withColumn("dearest", F.round("dearest", 2))
 
 
@@ -48,7 +47,7 @@ def join_reduce(t):
     SELECT a.ngram, a."count" AS count00, b."count" AS count12
     FROM frequency a JOIN frequency b ON a.ngram = b.ngram AND a.hour = '00' AND b.hour = '12'""", ("frequency",))
 def join_inner(t):
-    return phrases.join_hours(phrases.hour_frequency(phrases.hourly_ngrams(t.query_log)))
+    return phrases.join_hours(written(phrases.hour_frequency(phrases.hourly_ngrams(t.query_log)), "frequency"))
 
 
 @query("unresolved_deps", """

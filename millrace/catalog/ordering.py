@@ -67,9 +67,9 @@ def sort_rows(t):
 
 @query("order_by_hour_score", """
     SELECT hour, ngram, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY hour ORDER BY round(score, 6), ngram) AS BIGINT) AS rank
-    FROM scored WHERE score > 3.0""", ("scored",))
+    FROM scored WHERE score > 2.0""", ("scored",))
 def order_by_hour_score(t):
-    scores = phrases.phrase_scores(phrases.hour_frequency(phrases.hourly_ngrams(t.query_log))).filter("score > 3.0")
+    scores = phrases.phrase_scores(phrases.hour_frequency(phrases.hourly_ngrams(t.query_log))).filter("score > 2.0")
     return ordering.ranked(scores.select("hour", "ngram", F.round("score", 6).alias("score")), ["hour"], ["score", "ngram"])
 
 
@@ -78,7 +78,7 @@ def order_by_hour_score(t):
     QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY event_id)
          OR row_number() OVER (ORDER BY event_id) = 1""")
 def consecutive_uniq(t):
-    return ordering.consecutive_uniq(t.events.select("event_id", "event_type"), [], "event_id", "event_type", width=1000)
+    return ordering.consecutive_uniq(t.events.select("event_id", "event_type"), [], "event_id", "event_type")
 
 
 @query("last_n_ring", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from millrace.catalog.registry import query
 from millrace.functions import text
 from millrace.operators import groups, rows
 from millrace.plans import phrases
+from millrace.session import written
 
 
 @query("flat_map_pairs", """
@@ -100,16 +102,15 @@ def rewrite_group_input(t):
 def rewrite_combiner(t):
     # Values are rewritten before they are combined and the combined value once more after.
     keyed = t.lineitem.select("l_suppkey", (F.col("l_linenumber") * 2).alias("value"))
-    merged = groups.merge_by_key(keyed, ["l_suppkey"], groups.pairwise(["l_suppkey"], {"value": max}))
+    merged = groups.merge_by_key(keyed, ["l_suppkey"], groups.pairwise(["l_suppkey"], {"value": np.maximum}))
     return merged.select("l_suppkey", (F.col("value") * 5).alias("top"))
 
 
 @query("clean_query_filter", r"""
-    SELECT page_id, q FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN html ELSE '  ' END AS q FROM pages)
+    SELECT page_id, q FROM (SELECT page_id, unnest([url, html, '  ']) AS q FROM pages)
     WHERE length(trim(q)) > 0 AND NOT regexp_matches(q, '(?i)^\s*(https?://|ftp://|www\.)\S*')""")
 def clean_query_filter(t):
-    k = F.col("page_id") % 3
-    q = F.when(k == 0, F.col("url")).when(k == 1, F.col("html")).otherwise(F.lit("  "))
+    q = F.explode(F.array("url", "html", F.lit("  ")))
     return rows.filter_rows(t.pages.select("page_id", q.alias("q")), text.is_query("q"))
 
 
@@ -138,7 +139,7 @@ def filter_score(t):
     FROM frequency WHERE hour IN ('00', '12') GROUP BY hour""", ("frequency",))
 def split_by_hour(t):
     log = t.query_log.filter(text.extract_hour("time").isin("00", "12"))
-    first, second = phrases.split_hours(phrases.hour_frequency(phrases.hourly_ngrams(log)))
+    first, second = phrases.split_hours(written(phrases.hour_frequency(phrases.hourly_ngrams(log)), "frequency"))
 
     def summed(df):
         return df.groupBy("hour").agg(F.count(F.lit(1)).alias("phrases"), F.sum("count").alias("users"))

@@ -8,7 +8,7 @@ from millrace.catalog.registry import query
 from millrace.functions import json_text
 from millrace.operators import config as cfg
 from millrace.plans import phrases
-from millrace.session import scratch_path
+from millrace.session import scratch_path, written
 from millrace.sources import files
 
 
@@ -28,7 +28,7 @@ def except_jobs(t):
 @query("intersect_phrases", """
     SELECT ngram FROM frequency WHERE hour = '00' INTERSECT SELECT ngram FROM frequency WHERE hour = '12'""", ("frequency",))
 def intersect_phrases(t):
-    return phrases.phrases_in_common(phrases.hour_frequency(phrases.hourly_ngrams(t.query_log)))
+    return phrases.phrases_in_common(written(phrases.hour_frequency(phrases.hourly_ngrams(t.query_log)), "frequency"))
 
 
 @query("config_equal", """
@@ -43,7 +43,7 @@ def config_equal(t):
 
 
 @query("doc_equal", """
-    SELECT event_id, event_id % 3 <> 0 AND event_id % 5 <> 0 AS equal FROM events""")
+    SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN event_id % 3 <> 0 AND event_id % 5 <> 0 END AS equal FROM events""")
 def doc_equal(t):
     k = F.col("event_id")
     left = F.concat(F.lit('{"id": '), k, F.lit(', "tags": ["a", 1, true], "in": '), "props", F.lit("}"))
@@ -51,4 +51,7 @@ def doc_equal(t):
     tags = F.when(k % 5 == 0, F.lit('[1, "a", true]')).otherwise(F.lit('["a","1",true]'))
     right = F.concat(F.lit('{"tags":'), tags, F.lit(',"in":'), "props", F.lit(',"id":"'),
                      F.when(k % 3 == 0, k + 1).otherwise(k), F.lit('"}'))
+    # What is no document, or names a key twice, is equal to nothing, not even to another such.
+    left = F.when(k % 14 == 0, F.lit("{bad")).when(k % 7 == 0, F.lit('{"a": 1, "a": 2}')).otherwise(left)
+    right = F.when(k % 7 == 0, F.lit("[oops")).otherwise(right)
     return t.events.select("event_id", json_text.same_document(left, right).alias("equal"))

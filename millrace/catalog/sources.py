@@ -104,13 +104,11 @@ def scan_delimited(t):
     return files.read_delimited(t.spark, path, "user string, time string, query string")
 
 
-@query("sink_delimited", "SELECT hour || chr(9) || ngram || chr(9) || \"count\" AS line FROM frequency WHERE hour = '12'",
-       ("frequency",))
+@query("sink_delimited", "SELECT hour || chr(9) || ngram || chr(9) || \"count\" AS line FROM frequency", ("frequency",))
 def sink_delimited(t):
     from millrace.plans import phrases
     path = scratch_path(t.spark, "out")
-    noon = t.query_log.filter(F.substring("time", 7, 2) == "12")
-    files.write_delimited(phrases.hour_frequency(phrases.hourly_ngrams(noon)).select("hour", "ngram", "count"), path)
+    files.write_delimited(phrases.hour_frequency(phrases.hourly_ngrams(t.query_log)).select("hour", "ngram", "count"), path)
     return files.read_text(t.spark, path)
 
 
@@ -187,12 +185,17 @@ def scan_job_defs(t):
 
 
 @query("scan_schedule", f"""
-    SELECT name, start, period, c % 2 = 0 AS ignore_dep
-    FROM (SELECT *, CAST(substr(name, 4) AS BIGINT) AS c FROM schedules)
-    WHERE c % 13 <> 0 AND (period <> 'n' OR start > TIMESTAMP '{NOW}')""", ("schedules",))
+    SELECT name, CASE WHEN c % 11 = 0 THEN NULL WHEN c % 17 = 0 OR secs IS NULL OR start >= now_at THEN start
+             ELSE start + to_seconds(CAST(ceil((epoch(now_at) - epoch(start)) / secs) AS BIGINT) * secs) END AS start,
+           CASE WHEN c % 17 = 0 THEN '3w' ELSE period END AS period, c % 2 = 0 AS ignore_dep,
+           CASE WHEN c % 11 = 0 THEN 'time' WHEN c % 17 = 0 THEN 'period' END AS problem
+    FROM (SELECT *, CAST(substr(name, 4) AS BIGINT) AS c FROM timed)
+    WHERE c % 13 <> 0 AND (c % 11 = 0 OR c % 17 = 0 OR period <> 'n' OR start > now_at)""", ("timed",))
 def scan_schedule(t):
     c = F.substring("name", 4, 20).cast("bigint")
-    text = F.concat_ws(" ", F.date_format("start", fixed.SCHEDULE_FORMAT), "period",
+    # Some entries have a time or a unit that can't be read; they are told apart, not dropped.
+    start = F.when(c % 11 == 0, "tomorrow").otherwise(F.date_format("start", fixed.SCHEDULE_FORMAT))
+    text = F.concat_ws(" ", start, F.when(c % 17 == 0, "3w").otherwise(F.col("period")),
                        F.when(c % 13 != 0, (c % 2 == 0).cast("string")))
     lines = t.schedules.select(F.col("name").alias("key"), text.alias("value"))
     return records.parse_schedules(lines, t.now)

@@ -30,7 +30,6 @@ PREVIEW_ROWS = 1000
 PREVIEW_CHARS = 1_000_000
 HISTORY_PAGE_ROWS = 20
 LATE_AFTER_SECONDS = 1
-MAX_PERIOD_STEPS = 100_000
 
 # Patterns.
 VARIABLE_PATTERN = r"\$\{([a-zA-Z_.0-9]+)\}"

@@ -20,10 +20,15 @@ def output_pairs(c: Column | str) -> Column:
 
 
 def canonical(c: Column | str) -> Column:
-    """A form that is the same text for equal documents: keys sorted, every scalar a text, lists in order."""
+    """A form that is the same text for equal documents: keys sorted, every scalar a text, lists in order.
+
+    Null for what is no document, and for one that names a key twice. Numbers are equal by value (1.50 and 1.5).
+    """
     compact = F.to_json(F.try_parse_json(_col(c)))
-    return F.regexp_replace(compact, r"(?<=[:\[,])(-?[0-9][0-9.eE+-]*|true|false)(?=[,}\]])", "\"$1\"")
+    return F.regexp_replace(compact, r"(?<=[:\[,]|^)(-?[0-9][0-9.eE+-]*|true|false)(?=[,}\]]|\z)", "\"$1\"")
 
 
 def same_document(a: Column | str, b: Column | str) -> Column:
-    return canonical(a).eqNullSafe(canonical(b))
+    """Whether two documents are equal, both missing included; null if one is there but is no document."""
+    a, b = _col(a), _col(b)
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(canonical(a) == canonical(b))

@@ -20,7 +20,7 @@ def cut(c: Column | str, fields: Sequence[int], delimiter: str = "\t") -> Column
     empty fields at the end; an empty field before that is an empty string.
     """
     s = _col(c)
-    kept = F.regexp_replace(s, f"(?:{delimiter})+$", "")
+    kept = F.regexp_replace(s, f"(?:{delimiter})+\\z", "")
     all_empty = (kept == "") & (s != "")
     parts = F.when(~all_empty, F.split(kept, delimiter, -1))
     return F.array(*[F.get(parts, F.lit(i)) for i in fields])

@@ -11,83 +11,123 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.operators.ordering import ranked
 
+#: Rows, and bytes of Arrow data, that a task merges at once.
 HELD_ROWS = 100_000
+HELD_BYTES = 64 << 20
+
+
+def _mashed(name: str) -> Column:
+    """Texts put together; sorted, so that the result does not depend on the order of rows."""
+    return F.when(F.count(name) > 0, F.array_join(F.array_sort(F.collect_list(name)), ""))
+
 
 # Accumulators with a built-in aggregate of the same result.
 BUILT_IN = {"+": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "and": F.bool_and, "or": F.bool_or,
-            "count": F.count}
+            "count": F.count, "&": F.bit_and, "|": F.bit_or, "^": F.bit_xor}
 
 Merge = Callable[[pd.DataFrame], pd.DataFrame]
 
+# Types that keep nulls apart from numbers, so that whole numbers stay whole.
+_EXACT = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(),
+          pa.float32(): pd.Float32Dtype(), pa.float64(): pd.Float64Dtype(), pa.bool_(): pd.BooleanDtype()}
+
+
+def to_frame(table: pa.Table) -> pd.DataFrame:
+    """Arrow rows as pandas rows with nullable types."""
+    return table.to_pandas(types_mapper=_EXACT.get)
+
 
 def merge_by_key(df: DataFrame, keys: Sequence[str], merge: Merge, held: int = HELD_ROWS) -> DataFrame:
     """One row per key, by a ``merge`` of your own.
 
-    ``merge`` takes rows of the table (several keys mixed) and returns one row per key in the same columns.
-    It must give the same result however the rows are split up and ordered.
+    ``merge`` takes rows of the table (several keys mixed) and returns one row per key in the same columns; whole
+    numbers and nulls come as they are. It must give the same result however the rows are split up and ordered.
     """
     keys = list(keys)
 
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        # pandas turns a column of nothing but nulls into numbers, which do not fit a text column.
-        return merge(rows).astype({c: object for c in rows.columns if rows[c].dtype == object})
+    def merged(rows: pd.DataFrame, schema: pa.Schema) -> pa.Table:
+        return pa.Table.from_pandas(merge(rows)[schema.names], schema=schema, preserve_index=False)
 
-    def in_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in gathered(batches, held):
-            yield merged(rows)
+    def in_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches, held):
+            yield from merged(to_frame(table), table.schema).to_batches()
 
-    def in_key_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def in_key_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key = None  # what has been merged of the key that the last batch ended in
-        for batch in gathered(batches, held):
-            rows = batch if open_key is None else pd.concat([open_key, batch], ignore_index=True)
-            last = _same_key(rows, keys, batch.iloc[-1])
+        for table in gathered(batches, held):
+            rows = to_frame(table if open_key is None else pa.concat_tables([open_key, table]))
+            last = _same_key(rows, keys, rows.iloc[-1])
             if not last.all():
-                yield merged(rows[~last])
-            open_key = merged(rows[last])
+                yield from merged(rows[~last], table.schema).to_batches()
+            open_key = merged(rows[last], table.schema)
         if open_key is not None:
-            yield open_key
+            yield from open_key.to_batches()
 
-    partial = df.mapInPandas(in_partition, df.schema)
-    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(in_key_order, df.schema)
+    partial = df.mapInArrow(in_partition, df.schema)
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(in_key_order, df.schema)
 
 
-def gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """Batches put together until they hold ``rows`` rows."""
-    kept: list[pd.DataFrame] = []
-    size = 0
+def gathered(batches: Iterator[pa.RecordBatch], rows: int, most_bytes: int = HELD_BYTES) -> Iterator[pa.Table]:
+    """Batches put together until they hold ``rows`` rows or ``most_bytes``."""
+    kept: list[pa.RecordBatch] = []
+    size = weight = 0
     for batch in batches:
-        if batch.empty:
+        if not batch.num_rows:
             continue
         kept.append(batch)
-        size += len(batch)
-        if size >= rows:
-            yield pd.concat(kept, ignore_index=True)
-            kept, size = [], 0
+        size, weight = size + batch.num_rows, weight + batch.nbytes
+        if size >= rows or weight >= most_bytes:
+            yield pa.Table.from_batches(kept)
+            kept, size, weight = [], 0, 0
     if kept:
-        yield pd.concat(kept, ignore_index=True)
+        yield pa.Table.from_batches(kept)
 
 
 def _same_key(rows: pd.DataFrame, keys: list[str], row: pd.Series) -> pd.Series:
     same = pd.Series(True, index=rows.index)
     for key in keys:
         value = row[key]
-        same &= rows[key].isna() if pd.isna(value) else rows[key] == value
+        same &= rows[key].isna() if pd.isna(value) else (rows[key] == value).fillna(False).astype(bool)
     return same
 
 
 def pairwise(keys: Sequence[str], accumulators: Mapping[str, Callable]) -> Merge:
-    """A merge that folds each column with its own two-argument function."""
+    """A merge that folds each column with its own function of two values; nulls are left out, as in aggregates.
 
+    A numpy ufunc (``numpy.bitwise_xor``) works on whole columns at once; any other function is called per value.
+    """
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         grouped = rows.groupby(list(keys), dropna=False, sort=False)
-        out = grouped.agg({name: (lambda values, fn=fn: reduce(fn, values)) for name, fn in accumulators.items()})
-        return out.reset_index()[list(rows.columns)]
+        number = grouped.ngroup().to_numpy()
+        out = rows[list(keys)].iloc[np.unique(number, return_index=True)[1]].reset_index(drop=True)
+        order = np.argsort(number, kind="stable")
+        for name, fn in accumulators.items():
+            values, own = rows[name].iloc[order], number[order]
+            there = values.notna().to_numpy()
+            values, own = values[there], own[there]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            column = pd.Series([None] * len(out), dtype=object)
+            if isinstance(fn, np.ufunc):
+                folded = fn.reduceat(values.to_numpy(dtype=getattr(values.dtype, "numpy_dtype", None)), starts) if len(
+                    starts) else []
+            else:
+                items = values.tolist()
+                ends = [*starts[1:], len(items)]
+                folded = [reduce(fn, items[a:b]) for a, b in zip(starts, ends)]
+            for at, value in zip(own[starts], folded):
+                column.iat[at] = value.item() if isinstance(value, np.generic) else value
+            out[name] = column
+        return out[list(rows.columns)]
 
     return merge
 
@@ -97,7 +137,8 @@ def group_fold(df: DataFrame, fields: Sequence[str],
     """Group by ``fields``; per projection (name, first value of a row, accumulator, type).
 
     The first value is taken of every row and the accumulator joins two of them; there is no seed, so a
-    group of one row keeps its first value. An accumulator is a built-in name or an associative function.
+    group of one row keeps its first value. An accumulator is a built-in name, which becomes an aggregate whatever
+    stands beside it, or an associative function, which leaves nulls out as aggregates do. ``+`` puts texts together.
     Output: the fields, then the projections, cast to their types. A projection with the name of a field
     replaces it.
     """
@@ -107,20 +148,25 @@ def group_fold(df: DataFrame, fields: Sequence[str],
     keyed = df.select(*[F.col(f).alias(k) for f, k in key_names.items()],
                       *[first.cast(kind).alias(name) for name, first, _, kind in projections])
     keys = list(key_names.values())
-    if all(isinstance(acc, str) for _, _, acc, _ in projections):
-        grouped = keyed.groupBy(*keys).agg(
-            *[BUILT_IN[acc](name).cast(kind).alias(name) for name, _, acc, kind in projections])
-    else:
-        functions = {name: _function(acc) for name, _, acc, _ in projections}
-        grouped = merge_by_key(keyed, keys, pairwise(keys, functions))
+    built = [p for p in projections if isinstance(p[2], str)]
+    own = {name: acc for name, _, acc, _ in projections if not isinstance(acc, str)}
+    grouped = None
+    if built or not own:
+        grouped = keyed.groupBy(*keys).agg(*[_built_in(acc, name, keyed.schema[name].dataType).cast(kind).alias(name)
+                                             for name, _, acc, kind in built])
+    if own:
+        folded = merge_by_key(keyed.select(*keys, *own), keys, pairwise(keys, own))
+        if grouped is None:
+            grouped = folded
+        else:
+            same = [F.col(f"b.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys] or [F.lit(True)]
+            grouped = (grouped.alias("b").join(folded.alias("o"), reduce(lambda a, b: a & b, same))
+                       .select("b.*", *[F.col(f"o.{n}").alias(n) for n in own]))
     return grouped.select(*[F.col(k).alias(f) for f, k in key_names.items() if f not in names], *names)
 
 
-def _function(acc: str | Callable) -> Callable:
-    if callable(acc):
-        return acc
-    return {"+": lambda a, b: a + b, "sum": lambda a, b: a + b, "min": min, "max": max,
-            "and": lambda a, b: a and b, "or": lambda a, b: a or b}[acc]
+def _built_in(acc: str, name: str, kind: T.DataType) -> Column:
+    return _mashed(name) if acc == "+" and isinstance(kind, T.StringType) else BUILT_IN[acc](name)
 
 
 def group_no_combine(df: DataFrame, fields: Sequence[str], projections) -> DataFrame:
@@ -135,14 +181,16 @@ def reduce_groups(df: DataFrame, keys: Sequence[str], start: Callable[[pd.DataFr
     ``start`` turns rows into state rows (keys and state columns), ``merge`` joins the states of a key into
     one, ``finish`` turns finished states into output rows. All three work on batches with many keys.
     """
-    def each(fn: Callable[[pd.DataFrame], pd.DataFrame]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], made: str) -> DataFrame:
+        arrow = to_arrow_schema(T._parse_datatype_string(made))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield fn(batch)
-        return run
+                out = fn(to_frame(pa.Table.from_batches([batch])))
+                yield from pa.Table.from_pandas(out[arrow.names], schema=arrow, preserve_index=False).to_batches()
+        return df.mapInArrow(run, made)
 
-    states = df.mapInPandas(each(start), state)
-    return merge_by_key(states, keys, merge).mapInPandas(each(finish), schema)
+    return each(merge_by_key(each(df, start, state), keys, merge), finish, schema)
 
 
 def in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_piece: int = 10_000) -> DataFrame:

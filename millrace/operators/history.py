@@ -13,19 +13,21 @@ from millrace.operators.joins import equal_keys
 BLANK = "–"
 
 
-def _newest() -> list[Column]:
-    return [F.col("started").desc_nulls_last(), F.col("job").asc()]
+def _newest(runs: DataFrame) -> list[Column]:
+    """Newest first; of runs of one time, those of the first job, then by whatever else tells them apart."""
+    rest = [F.col(c).desc_nulls_last() for c in ("log", "run", "id", "ended", "succeeded") if c in runs.columns]
+    return [F.col("started").desc_nulls_last(), F.col("job").asc(), *rest]
 
 
 def recent_runs(runs: DataFrame, count: int) -> DataFrame:
     """The newest ``count`` runs over all jobs."""
     # No job can bring more than `count` rows to the result, so the overall top rows are all it takes.
-    return ordering.top_overall(runs, _newest(), count)
+    return ordering.top_overall(runs, _newest(runs), count)
 
 
 def runs_of_each_job(runs: DataFrame, count: int) -> DataFrame:
     """The newest ``count`` runs of every job, numbered from 1."""
-    return ordering.top_per_key(runs, ["job"], [F.col("started").desc_nulls_last()], count)
+    return ordering.top_per_key(runs, ["job"], _newest(runs), count)
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ adaptive execution; a hot key on the right of a left join is not, so ``spread_jo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators import groups, ordering
+
 ROWS_PER_PIECE = 1_000_000
 
 
@@ -37,7 +39,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
          .select("l.*", F.coalesce("h._pieces", F.lit(1)).alias("_pieces"))
          .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_pieces") - 1))))
     # By content and input partition: equal rows spread too, and a task that is run again does the same.
-    spread = F.pmod(F.xxhash64(*[f"r.{c}" for c in right.columns], "r._from"), F.coalesce("h._pieces", F.lit(1)))
+    spread = F.pmod(F.xxhash64(*[f"r.{c}" for c in ordering.hashable(right)], "r._from"), F.coalesce("h._pieces", F.lit(1)))
     right = right.withColumn("_from", F.spark_partition_id())
     r = (right.alias("r").join(hot.alias("h"), equal_keys("r", "h", keys, null_safe), "left")
          .select("r.*", spread.alias("_piece"), F.lit(True).alias("_matched")))
@@ -96,3 +98,9 @@ def without_partner(left: DataFrame, right: DataFrame, left_key: str, right_key:
     """Rows of ``left`` whose key is nowhere in ``right``."""
     keys = right.select(F.col(right_key).alias(left_key)).distinct()
     return left.join(keys, left_key, "left_anti")
+
+
+def join_reduce(fields: Sequence[str], inputs: Sequence[JoinInput], start: Callable, state: str, merge: Callable,
+                finish: Callable, schema: str, how: str = "left") -> DataFrame:
+    """0..n rows per join key: all joined rows of a key go through a reducer in three parts (``reduce_groups``)."""
+    return groups.reduce_groups(join_inputs(fields, inputs, how=how), fields, start, state, merge, finish, schema)

@@ -12,24 +12,28 @@ from millrace import fixed_values as fixed
 from millrace.operators import blocks
 from millrace.session import scratch_path
 
-SALTS = 64
-
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each key, numbered from 1.
 
-    For a small n Spark cuts each input partition to n rows per key before the shuffle. Beyond its limit for
-    that, rows are first cut per (key, salt), so no task gets a whole hot key.
+    Rows are first cut to n per (key, salt), so no task gets a whole hot key; there are as many salts as shuffle
+    partitions. A salt goes by a row's content and input partition: equal rows spread too, and a task that is run
+    again does the same. For a small n Spark also cuts each input partition to n rows per key before either shuffle.
     """
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if n >= limit:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-        inner = F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))
-        df = salted.withColumn("_inner", inner).filter(F.col("_inner") <= n).drop("_inner", "_salt")
-    return (df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*hashable(df), F.spark_partition_id()), F.lit(salts))
+    salted = df.withColumn("_salt", salt)
+    inner = F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))
+    cut = salted.withColumn("_inner", inner).filter(F.col("_inner") <= n).drop("_inner", "_salt")
+    return (cut.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
             .filter(F.col(rank) <= n))
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """The columns that Spark can hash: all that hold no map."""
+    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+
+
 def top_overall(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of the table: each task keeps n, then those are merged."""
     return df.orderBy(*order).limit(n)
@@ -64,8 +68,8 @@ def row_slice(rows: DataFrame, start: int = 1, end: int = fixed.PREVIEW_ROWS, so
     Records include row ``end``; text does not, and also stops before the line at which the characters
     shown would reach ``max_chars``.
     """
-    numbered = blocks.numbered(rows, [source], pos, "row", width)
     last = end if inclusive else end - 1
+    numbered = blocks.numbered(rows, [source], pos, "row", width, stop_at=last)
     out = numbered.filter(F.col("row").between(start, last))
     if chars_of is not None:
         out = blocks.running_sum(out, [source], "row", F.length(chars_of), "_chars", stop_at=max_chars - 1).drop("_chars")

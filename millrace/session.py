@@ -61,13 +61,3 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when a scan has fewer splits than the cluster has cores.
-
-    For heavy work per row over little input, such as taking long texts apart. A scan with enough splits is
-    left as it is, so large input is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

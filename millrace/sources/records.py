@@ -132,16 +132,24 @@ def duplicate_definitions(definitions: DataFrame) -> DataFrame:
 
 
 def parse_schedules(lines: DataFrame, now: Column, key: str = "key", value: str = "value") -> DataFrame:
-    """(name, start, period, ignore_dep) out of ``name=<time> <period> <bool>`` entries.
+    """(name, start, period, ignore_dep, problem) out of ``name=<time> <period> <bool>`` entries.
 
-    Entries without exactly three pieces are dropped, and so are those without a period whose time is past.
+    The start is moved forward by whole periods to ``now``. Entries without exactly three pieces are dropped, and
+    so are those without a period whose time is past. ``problem`` is ``time`` or ``period`` where that piece can't
+    be read, else null; such an entry stays as it is.
     """
     pieces = F.split(F.col(value), r"\s+", -1)
     start = F.try_to_timestamp(F.get(pieces, F.lit(0)), F.lit(fixed.SCHEDULE_FORMAT)).cast("timestamp_ntz")
+    period = F.get(pieces, F.lit(1))
+    readable = (period == "n") | times.parse_period(period, strict=False).isNotNull()
+    problem = F.when(start.isNull(), "time").when(~readable, "period")
     parsed = (lines.filter(F.size(pieces) == 3)
-              .select(F.col(key).alias("name"), start.alias("start"), F.get(pieces, F.lit(1)).alias("period"),
-                      (F.lower(F.get(pieces, F.lit(2))) == "true").alias("ignore_dep")))
-    return parsed.filter(times.parse_period("period").isNotNull() | (F.col("start") > now))
+              .select(F.col(key).alias("name"), start.alias("start"), period.alias("period"),
+                      (F.lower(F.get(pieces, F.lit(2))) == "true").alias("ignore_dep"), problem.alias("problem")))
+    step = times.parse_period("period", strict=False)
+    return (parsed.filter(F.col("problem").isNotNull() | step.isNotNull() | (F.col("start") > now))
+            .withColumn("start", F.when(F.col("problem").isNotNull(), F.col("start"))
+                        .otherwise(times.next_run("start", step, now))))
 
 
 def parse_log_lines(lines: DataFrame, line: str = "line") -> DataFrame:
