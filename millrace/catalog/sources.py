@@ -168,14 +168,16 @@ def scan_flow_json(t):
     SELECT 'dir:seg' || c_mktsegment AS scope, 'dir:' AS parent, 'config' AS kind, 'zone' AS key, c_mktsegment AS value,
            CAST(NULL AS VARCHAR) AS name FROM customer GROUP BY c_mktsegment
     UNION ALL SELECT 'job:seg' || c_mktsegment || '/' || c_name || '.job', 'dir:seg' || c_mktsegment, 'job',
-           unnest(['type', 'dependencies']), unnest(['java', 'Customer#' || lpad(CAST(c_custkey // 2 AS VARCHAR), 9, '0')]), c_name
+           unnest(['type', 'dependencies', 'the path']),
+           unnest(['java', 'Customer#' || lpad(CAST(c_custkey // 2 AS VARCHAR), 9, '0') || ',seg' || c_mktsegment, 'C:\\é=1']), c_name
     FROM customer""")
 def scan_job_defs(t):
     c = t.customer
     folder = F.concat(F.lit("file:/jobs/seg"), "c_mktsegment")
     before = F.concat(F.lit("Customer#"), F.lpad(F.expr("c_custkey div 2").cast("string"), 9, "0"))
     jobs = c.select(F.concat(folder, F.lit("/"), "c_name", F.lit(".job")).alias("path"), F.posexplode(F.array(
-        F.lit("# a job"), F.lit("type=java"), F.concat(F.lit("dependencies = "), before))).alias("pos", "line"))
+        F.lit("# a job\\"), F.lit("type=java"), F.concat(F.lit("dependencies = "), before, F.lit(",\\")),
+        F.concat(F.lit("    seg"), "c_mktsegment"), F.lit(r"the\ path : C\:\\\u00e9\=1"))).alias("pos", "line"))
     config = c.select("c_mktsegment").distinct().select(
         F.concat(folder, F.lit("/common.properties")).alias("path"), F.lit(0).alias("pos"),
         F.concat(F.lit("zone="), "c_mktsegment").alias("line"))

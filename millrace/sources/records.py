@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace import fixed_values as fixed
@@ -21,13 +22,43 @@ parentProps map<string,string>
 """
 
 
+def logical_lines(lines: DataFrame, path: str = "path", pos: str = "pos", line: str = "line") -> DataFrame:
+    """(path, pos, line): lines that end in an odd number of backslashes joined with the next one of their file.
+
+    The white space that begins the next line is dropped. Comments are never continued.
+    """
+    comment = F.ltrim(line).rlike("^[#!]")
+    open_end = ~comment & (F.length(F.regexp_extract(line, r"(\\*)\z", 1)) % 2 == 1)
+    in_file = W.partitionBy(path).orderBy(pos)
+    tied = F.coalesce(F.lag("_open").over(in_file), F.lit(False))
+    pieces = (lines.withColumn("_open", open_end).withColumn("_tied", tied)
+              .withColumn("_group", F.sum(F.when(F.col("_tied"), 0).otherwise(1)).over(in_file))
+              .withColumn("_piece", F.when(F.col("_open"), F.expr(f"left({line}, length({line}) - 1)")).otherwise(F.col(line)))
+              .withColumn("_piece", F.when(F.col("_tied"), F.ltrim("_piece")).otherwise(F.col("_piece"))))
+    parts = F.array_sort(F.collect_list(F.struct(pos, "_piece")))
+    return (pieces.groupBy(path, "_group").agg(F.min(pos).alias(pos), parts.alias("_parts"))
+            .select(path, pos, F.array_join(F.transform("_parts", lambda x: x["_piece"]), "").alias(line)))
+
+
+def unescaped(c: Column) -> Column:
+    """A key or value without its escapes: unicode, tab, newline, return, form feed, and any other character."""
+    kept = F.replace(c, F.lit("\\\\"), F.lit("\x01"))  # an escaped backslash escapes nothing itself
+    codes = F.array_distinct(F.regexp_extract_all(kept, F.lit(r"\\u([0-9a-fA-F]{4})"), F.lit(1)))
+    kept = F.aggregate(codes, kept, lambda text, code: F.replace(
+        text, F.concat(F.lit("\\u"), code), F.decode(F.unhex(code), "UTF-16BE")))
+    for sign, meant in (("t", "\t"), ("n", "\n"), ("r", "\r"), ("f", "\f")):
+        kept = F.replace(kept, F.lit("\\" + sign), F.lit(meant))
+    return F.replace(F.regexp_replace(kept, r"\\(.)", "$1"), F.lit("\x01"), F.lit("\\"))
+
+
 def property_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Add ``key`` and ``value`` of ``key=value`` or ``key: value`` lines; comments and blank lines drop out."""
+    """Add ``key`` and ``value`` of ``key=value``, ``key: value`` or ``key value`` lines, without escapes; comments and
+    blank lines drop out. Lines that go on in the next one have to be joined first (``logical_lines``)."""
     text = F.ltrim(F.col(line))
-    pattern = r"^([^=:\s]+)\s*(?:[=:]\s*|\s+|$)(.*)$"
+    pattern = r"^((?:\\.|[^\\=:\s])+)\s*(?:[=:]\s*|\s+|$)(.*)$"
     return (lines.filter((text != "") & ~text.rlike("^[#!]"))
-            .withColumn("key", F.regexp_extract(text, pattern, 1))
-            .withColumn("value", F.regexp_extract(text, pattern, 2)))
+            .withColumn("key", unescaped(F.regexp_extract(text, pattern, 1)))
+            .withColumn("value", unescaped(F.regexp_extract(text, pattern, 2))))
 
 
 def run_directory_time(name: Column | str) -> Column:
@@ -112,7 +143,7 @@ def definitions_of_lines(lines: DataFrame, root_path: str) -> DataFrame:
     hidden = F.exists(parts, lambda p: p.isin(*fixed.SKIPPED_NAMES) | p.startswith("."))
     job = F.substr(name, F.lit(1), F.length(name) - len(fixed.JOB_SUFFIX))
     upper = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), "/")
-    tagged = (lines.filter(~hidden & (is_job | is_config))
+    tagged = (logical_lines(lines.filter(~hidden & (is_job | is_config)))
               .withColumn("scope", F.when(is_job, F.concat(F.lit("job:"), relative)).otherwise(F.concat(F.lit("dir:"), folder)))
               .withColumn("parent", F.when(is_job, F.concat(F.lit("dir:"), folder))
                           .when(F.size(parts) > 1, F.concat(F.lit("dir:"), upper)))
