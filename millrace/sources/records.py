@@ -22,19 +22,23 @@ parentProps map<string,string>
 """
 
 
+def _left_trimmed(line: str) -> Column:
+    return F.regexp_replace(line, r"^[ \t\f]+", "")
+
+
 def logical_lines(lines: DataFrame, path: str = "path", pos: str = "pos", line: str = "line") -> DataFrame:
     """(path, pos, line): lines that end in an odd number of backslashes joined with the next one of their file.
 
     The white space that begins the next line is dropped. Comments are never continued.
     """
-    comment = F.ltrim(line).rlike("^[#!]")
+    comment = _left_trimmed(line).rlike("^[#!]")
     open_end = ~comment & (F.length(F.regexp_extract(line, r"(\\*)\z", 1)) % 2 == 1)
     in_file = W.partitionBy(path).orderBy(pos)
     tied = F.coalesce(F.lag("_open").over(in_file), F.lit(False))
     pieces = (lines.withColumn("_open", open_end).withColumn("_tied", tied)
               .withColumn("_group", F.sum(F.when(F.col("_tied"), 0).otherwise(1)).over(in_file))
               .withColumn("_piece", F.when(F.col("_open"), F.expr(f"left({line}, length({line}) - 1)")).otherwise(F.col(line)))
-              .withColumn("_piece", F.when(F.col("_tied"), F.ltrim("_piece")).otherwise(F.col("_piece"))))
+              .withColumn("_piece", F.when(F.col("_tied"), _left_trimmed("_piece")).otherwise(F.col("_piece"))))
     parts = F.array_sort(F.collect_list(F.struct(pos, "_piece")))
     return (pieces.groupBy(path, "_group").agg(F.min(pos).alias(pos), parts.alias("_parts"))
             .select(path, pos, F.array_join(F.transform("_parts", lambda x: x["_piece"]), "").alias(line)))
@@ -54,7 +58,7 @@ def unescaped(c: Column) -> Column:
 def property_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add ``key`` and ``value`` of ``key=value``, ``key: value`` or ``key value`` lines, without escapes; comments and
     blank lines drop out. Lines that go on in the next one have to be joined first (``logical_lines``)."""
-    text = F.ltrim(F.col(line))
+    text = _left_trimmed(line)
     pattern = r"^((?:\\.|[^\\=:\s])+)\s*(?:[=:]\s*|\s+|$)(.*)$"
     return (lines.filter((text != "") & ~text.rlike("^[#!]"))
             .withColumn("key", unescaped(F.regexp_extract(text, pattern, 1)))

@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -374,3 +375,61 @@ def test_upcoming(spark, rows):
                   "UNION ALL SELECT 'b', TIMESTAMP_NTZ '2024-01-01 03:00:00', 'n'")
     out = history.upcoming(s, F.lit("2024-01-01 13:00:00").cast("timestamp_ntz"))
     assert [(n, t.hour) for n, t in rows(out)] == [("a", 0), ("a", 12), ("a", 6), ("b", 3)]
+
+
+BIG = 9007199254740993  # not a double
+
+
+def test_accumulators_keep_whole_numbers_nulls_and_texts(spark, rows):
+    data = [(BIG, BIG, "b", None, 1), (BIG, None, None, 2.0, 2), (BIG - 1, None, "x", None, 4), (None, BIG - 1, "a", 1.0, 8),
+            (None, BIG, "c", None, 16), (BIG, 3, "a", 5.0, 32)]
+    df = spark.createDataFrame(data, "k bigint, v bigint, s string, d double, bits int").repartition(3)
+    own = [("top", F.col("v"), np.maximum, "bigint"), ("last", F.col("v"), max, "bigint"), ("sum", F.col("d"), "+", "double"),
+           ("n", F.col("v"), "count", "bigint"), ("text", F.col("s"), "+", "string"), ("bits", F.col("bits"), "|", "int"),
+           ("added", F.col("d"), lambda a, b: a + b, "double"), ("mixed", F.col("bits"), np.bitwise_xor, "int")]
+    assert rows(groups.group_fold(df, ["k"], own)) == sorted([
+        (BIG, BIG, BIG, 7.0, 2, "ab", 35, 7.0, 35), (BIG - 1, None, None, None, 0, "x", 4, None, 4),
+        (None, BIG, BIG, 1.0, 2, "ac", 24, 1.0, 24)], key=repr)
+
+
+def test_a_reducer_sees_exact_numbers(spark, rows):
+    df = spark.createDataFrame([(BIG, 1), (BIG, None), (None, 5), (BIG - 1, None)], "k bigint, v bigint").repartition(3)
+
+    def merge(states):
+        return states.groupby("k", dropna=False, as_index=False).agg({"v": "max"})
+
+    out = groups.reduce_groups(df, ["k"], lambda b: b, "k bigint, v bigint", merge, lambda b: b, "k bigint, v bigint")
+    assert rows(out) == sorted([(BIG, 1), (None, 5), (BIG - 1, None)], key=repr)
+
+
+def test_tables_with_maps(spark):
+    df = spark.range(300).selectExpr("id % 3 AS k", "id AS pos", "map('a', id) AS m")
+    for n in (5, 2000):
+        got = ordering.top_per_key(df, ["k"], [F.col("pos").desc()], n).collect()
+        assert len(got) == 3 * min(n, 100) and {r.m["a"] for r in got} == {r.pos for r in got}
+    pairs = spark.createDataFrame([(0, "x"), (1, "y")], "k bigint, name string")
+    joined = joins.spread_join(pairs, df.select("k", "m"), ["k"], "left", rows_per_piece=30)
+    assert joined.count() == 200
+
+
+def test_runs_of_one_time_have_one_latest(spark):
+    for parts in (1, 2, 5):
+        runs = spark.createDataFrame([("j", 5, "a"), ("j", 5, "c"), ("j", 5, "b")], "job string, started int, log string")
+        assert history.latest_runs(runs.repartition(parts)).first().log == "c"
+        assert history.recent_runs(runs.repartition(parts), 1).first().log == "c"
+
+
+def test_join_reduce_reduces_by_the_join_key(spark, rows):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k bigint, name string")
+    b = spark.createDataFrame([(1, 5), (1, 7), (2, 1)], "k bigint, v bigint")
+
+    def start(batch):
+        return batch.groupby("k", as_index=False).agg(n=("v", "size"), top=("v", "max"))
+
+    def merge(states):
+        return states.groupby("k", as_index=False).agg({"n": "sum", "top": "max"})
+
+    schema = "k bigint, n bigint, top bigint"
+    out = joins.join_reduce(["k"], [joins.JoinInput(a, ["name"]), joins.JoinInput(b, ["v"])], start, schema, merge,
+                            lambda s: s, schema)
+    assert rows(out) == [(1, 2, 7), (2, 1, 1)]

@@ -197,3 +197,11 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path, rows):
 
 def test_fixed_values_are_in_use():
     assert fixed.TAIL_BYTES == 204800 and fixed.RUN_DIR_FORMAT.count(".") == 4
+
+
+def test_property_files_continue_and_escape(spark):
+    text = ["# comment\\", "dependencies = a,\\", "     b,\\", "\t c", "!x", "", "path=C:\\\\temp\\", "more", "k\\:1\\ 2 : v\\u00e9\\=",
+            "even=x\\\\", "next word", "alone"]
+    lines = spark.createDataFrame([("f", n, x) for n, x in enumerate(text)], "path string, pos int, line string")
+    got = {r.key: r.value for r in records.property_lines(records.logical_lines(lines)).collect()}
+    assert got == {"dependencies": "a,b,c", "path": "C:\\tempmore", "k:1 2": "vé=", "even": "x\\", "next": "word", "alone": ""}
