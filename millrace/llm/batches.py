@@ -34,7 +34,7 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
     """Runs of rows of about ``most`` bytes; a longer row is alone in its slice."""
     n = batch.num_rows
     size = np.zeros(n, np.int64)
-    for column in batch.columns:
+    for column in columns_of(batch):
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
             size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         elif pa.types.is_list(column.type):
@@ -47,6 +47,15 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         begin = end
 
 
+def columns_of(batch: pa.RecordBatch) -> Iterator[pa.Array]:
+    """The columns, and the fields of those that are structs."""
+    for column in batch.columns:
+        if pa.types.is_struct(column.type):
+            yield from column.flatten()
+        else:
+            yield column
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.StringArray:
     """The texts of a batch; null is the empty text."""
     return pc.fill_null(batch.column(name), "")

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -129,6 +130,11 @@ def twice_seen(docs: DataFrame, least: int, bits: int) -> np.ndarray:
     return out
 
 
+def own_texts(batch: pa.RecordBatch) -> list[bytes]:
+    """The texts inside the rows' structs."""
+    return batches.as_bytes(pc.fill_null(pc.struct_field(batch.column("value"), ["text"]), ""))
+
+
 def dedup(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
     """(value, text, n_lines, n_dropped): each row as a struct, its text as kept, its lines before and the dropped.
 
@@ -137,11 +143,11 @@ def dedup(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(twice_seen(docs, least, bits))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("value")).select(
-        "value", F.col("value.text").alias("text"), F.monotonically_increasing_id().alias("row"))
+        "value", F.monotonically_increasing_id().alias("row"))
 
     def suspect(batch: pa.RecordBatch) -> pa.RecordBatch:
         filter_, n_lines, lengths, found = known.value, [], [], []
-        for text in batches.as_bytes(batches.texts(batch)):
+        for text in own_texts(batch):
             n_lines.append(text.count(b"\n") + 1)
             hashes = hashed({k for k in keys_of(text, least) if k})
             hashes = hashes[holds(filter_, hashes, bits)]
@@ -168,8 +174,8 @@ def dedup(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
 
     def drop(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, dropped = [], []
-        for text, lost in zip(batches.as_bytes(batches.texts(batch)), batch.column("lost").to_pylist()):
-            lost, lines = set(lost), text.split(b"\n")
+        for text, lost in zip(own_texts(batch), batch.column("lost").to_pylist()):
+            lost, lines = set(lost or ()), text.split(b"\n")
             out = [line for line, key in zip(lines, keys_of(text, least))
                    if not key or xxhash.xxh3_128_digest(key) not in lost]
             kept.append(b"\n".join(out))
@@ -178,10 +184,10 @@ def dedup(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
             [batch.column("value"), pa.array(kept, pa.binary()).cast(pa.string()), batch.column("n_lines"),
              pa.array(dropped, pa.int64())], ["value", "text", "n_lines", "n_dropped"])
 
-    schema = T.StructType([*fields[:2], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    clean = looked.filter("size(suspects) = 0").select("value", F.coalesce("text", F.lit("")).alias("text"), "n_lines",
-                                                       F.lit(0).cast("bigint").alias("n_dropped"))
-    joined = looked.filter("size(suspects) > 0").drop("suspects").join(losing, "row", "left")
-    as_is = joined.filter("lost is null").select("value", "text", "n_lines", F.lit(0).cast("bigint").alias("n_dropped"))
-    changed = batches.map_batches(joined.filter("lost is not null").drop("row"), drop, schema)
-    return clean.unionByName(as_is).unionByName(changed)
+    clean = looked.filter("size(suspects) = 0").select(
+        "value", F.coalesce("value.text", F.lit("")).alias("text"), "n_lines", F.lit(0).cast("bigint").alias("n_dropped"))
+    doubtful = looked.filter("size(suspects) > 0").drop("suspects").join(losing, "row", "left").drop("row")
+    settled = batches.map_batches(doubtful, drop, T.StructType([
+        fields[0], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()),
+        T.StructField("n_dropped", T.LongType())]))
+    return clean.unionByName(settled)
