@@ -64,10 +64,11 @@ def dep_pairs(t):
 
 
 @query("dep_tree_json", """
-    WITH walk(root, path, name, depth) AS (SELECT job, job, job, 0 FROM roots
-      UNION ALL SELECT root, path || '/' || dep, dep, depth + 1 FROM walk JOIN edges ON edges.job = walk.name)
-    SELECT root, path, name, CAST(depth AS INTEGER) AS depth, '{"name":"' || name || '","path":"' || path || '"}' AS json FROM walk""",
-       ("roots",))
+    WITH walk(job) AS (SELECT job FROM roots UNION SELECT dep FROM walk JOIN edges ON edges.job = walk.job),
+    needs AS (SELECT job, list_sort(list(DISTINCT dep)) AS deps FROM edges GROUP BY job)
+    SELECT w.job, w.job IN (SELECT job FROM roots) AS is_root,
+           '{"name":"' || w.job || '","dependencies":[' || coalesce('"' || array_to_string(deps, '","') || '"', '') || ']}' AS json
+    FROM walk w LEFT JOIN needs n ON n.job = w.job""", ("roots", "edges"))
 def dep_tree_json(t):
     return graph.tree(t.nodes, t.edges)
 

@@ -14,11 +14,21 @@ from millrace.session import scratch_path
 from millrace.sources import files, records
 
 
-@query("scan_text", 'SELECT line, count(*) AS copies FROM lines GROUP BY line', ("lines",))
+@query("scan_text", """
+    SELECT line, count(*) AS copies, true AS in_place FROM lines GROUP BY line""", ("lines",))
 def scan_text(t):
+    """Lines with their offsets; in place if the lines of a file lie without a gap from its first byte to its last."""
     path = scratch_path(t.spark, "text")
     t.lines.select("line").write.text(path)
-    return files.read_text(t.spark, path).groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
+    lines = files.read_text(t.spark, path, offsets=True)
+    size = F.octet_length("line") + 1
+    found = lines.groupBy("source").agg(F.min("offset").alias("first"), F.max(F.col("offset") + size).alias("end"),
+                                        F.sum(size).alias("total"), F.count_distinct("offset").alias("places"),
+                                        F.count(F.lit(1)).alias("n"))
+    whole = (found.join(files.list_files(t.spark, path), F.regexp_extract("source", "[^/]+$", 0) == F.regexp_extract("path", "[^/]+$", 0))
+             .filter("first = 0 AND end = length AND total = length AND places = n").select("source"))
+    return (lines.join(whole.withColumn("whole", F.lit(True)), "source", "left").groupBy("line")
+            .agg(F.count(F.lit(1)).alias("copies"), F.every(F.coalesce("whole", F.lit(False))).alias("in_place")))
 
 
 @query("sink_text", "SELECT c_custkey || chr(9) || c_name AS line FROM customer")
@@ -238,11 +248,13 @@ def scan_output_props(t):
 
 
 @query("list_files", """
-    SELECT 'status=' || o_orderstatus || '/' AS name, true AS is_dir, CAST(NULL AS VARCHAR) AS size
-    FROM orders GROUP BY o_orderstatus UNION ALL SELECT '_SUCCESS', false, '0 B'""")
+    SELECT DISTINCT 'status=' || o_orderstatus || '/' AS name, true AS is_dir, false AS sized FROM orders
+    UNION ALL SELECT 'part', false, true""")
 def list_files(t):
+    """Folders by name and, of files, what their names begin with (Spark chooses the rest) and whether a size is shown."""
     path = scratch_path(t.spark, "listed")
     t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status")).write.partitionBy("status").parquet(path)
+    t.orders.select("o_orderkey").write.mode("append").parquet(path)
     listing = files.list_directory(t.spark, path)
-    return (listing.filter(~F.startswith("name", F.lit(".")))
-            .select("name", "is_dir", numbers.display_bytes("length").alias("size")))
+    return listing.select(F.when(F.col("is_dir"), F.col("name")).otherwise(F.substring("name", 1, 4)).alias("name"), "is_dir",
+                          numbers.display_bytes("length").isNotNull().alias("sized")).distinct()

@@ -81,7 +81,7 @@ def _peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         if marked.filter("_done").isEmpty():
             return reduce(DataFrame.unionByName, layers), left
         # Edges that were done in earlier rounds are gone, so what counts is that those still here are.
-        layer = marked.groupBy("job").agg(F.bool_and("_done").alias("_all")).filter("_all").select("job")
+        layer = written(marked.groupBy("job").agg(F.bool_and("_done").alias("_all")).filter("_all").select("job"), "level")
         layers.append(layer.withColumn("level", F.lit(len(layers))))
 
 
@@ -104,27 +104,18 @@ def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The dependency tree of every root, one row per tree node: root, path, name, depth, json.
+    """The dependency trees of all roots: (job, is_root, json), one row per job that a root reaches.
 
-    Children sort by name, so ordering by (root, path) walks each tree from the top. A job that several
-    jobs need is shown under each. ``json`` is the node as a document with its place in the tree; a nested
-    document per root would gather a whole tree in one value.
+    ``json`` is the job as a document with the sorted names of what it needs. A job that several jobs need is there
+    once, so the result is linear in jobs and edges; a reader nests the documents from the roots down by name.
     """
-    top = roots(nodes, edges)
-    steps = edges.select(F.col("job").alias("_at"), F.col("dep").alias("_next"))
-    layer = written(top.select(F.col("job").alias("root"), F.array("job").alias("path"),
-                               F.col("job").alias("name")), "tree")
-    layers = [layer]
-    while not layer.isEmpty():
-        below = (layer.join(steps, layer["name"] == steps["_at"])
-                 .filter(~F.array_contains("path", F.col("_next")))
-                 .select("root", F.array_append("path", F.col("_next")).alias("path"), F.col("_next").alias("name")))
-        layer = written(below, "tree")
-        layers.append(layer)
-    rows = reduce(DataFrame.unionByName, layers)
-    return (rows.withColumn("depth", F.size("path") - 1)
-            .withColumn("path", F.array_join("path", "/"))
-            .withColumn("json", F.to_json(F.struct("name", "path"))))
+    top = roots(nodes, edges).select("job").distinct()
+    reached = closure(top, edges)
+    needs = edges.groupBy("job").agg(F.array_sort(F.collect_set("dep")).alias("dependencies"))
+    named = (reached.join(needs, "job", "left").join(top.withColumn("_top", F.lit(True)), "job", "left")
+             .withColumn("dependencies", F.coalesce("dependencies", F.array().cast("array<string>"))))
+    return named.select("job", F.coalesce("_top", F.lit(False)).alias("is_root"),
+                        F.to_json(F.struct(F.col("job").alias("name"), "dependencies")).alias("json"))
 
 
 def flow_documents(members: DataFrame, edges: DataFrame) -> DataFrame:

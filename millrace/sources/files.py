@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace import fixed_values as fixed
-from millrace.operators import ordering
+from millrace.operators import blocks, ordering
 from millrace.operators.rows import check_schema
 
 
@@ -38,14 +38,15 @@ def _child(spark: SparkSession, parent: str, name: str):
 # text ------------------------------------------------------------------------------------------------
 
 def read_text(spark: SparkSession, path: str | None, offsets: bool = False) -> DataFrame:
-    """(line), or (offset, line) with the byte at which each line starts in its file."""
+    """(line), or (source, offset, line) with the file of each line and the byte at which it starts there."""
     path = _given(path, "input")
     if not offsets:
         return spark.read.text(_paths(path)).withColumnRenamed("value", "line")
-    pairs = spark.sparkContext.newAPIHadoopFile(
-        path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat",
-        "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
-    return spark.createDataFrame(pairs, "offset long, line string")
+    # Lines end in a newline alone here, so that a return before it still counts as a byte of its line.
+    rows = _in_file_order(spark.read.option("lineSep", "\n").text(_paths(path)), F.col("value"))
+    size = (F.octet_length("line") + 1).cast("bigint")
+    ended = blocks.running_sum(rows, ["source"], "pos", size, "_end", width="block")
+    return ended.select("source", (F.col("_end") - size).alias("offset"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def write_text(df: DataFrame, path: str | None, key: str, value: str, mode: str = "error") -> None:
@@ -161,22 +162,31 @@ def _in_file_order(scan: DataFrame, line: Column) -> DataFrame:
 
 def preview(spark: SparkSession, path: str, start: int = 1, end: int = fixed.PREVIEW_ROWS) -> DataFrame:
     """(source, row, line): rows start .. end of each file, by the first reader that takes the path."""
-    suffix = _first_suffix(spark, path)
-    text = not (suffix == "parquet" or (suffix == "avro" and has_avro(spark)))
-    rows = _in_file_order(spark.read.text(path), F.col("value")) if text else read_as_json(spark, path, suffix)
+    kind = _first_kind(spark, path)
+    text = kind == "text"
+    rows = _in_file_order(spark.read.text(path), F.col("value")) if text else read_as_json(spark, path, kind)
     return (ordering.row_slice(rows, start, end, inclusive=not text, chars_of="line" if text else None, width="block")
             .select("source", "row", "line"))
 
 
-def _first_suffix(spark: SparkSession, path: str) -> str:
-    """Suffix of the first visible file under a path."""
+# What files of records begin with.
+MAGIC = {b"PAR1": "parquet", b"Obj\x01": "avro", b"ORC": "orc"}
+
+
+def _first_kind(spark: SparkSession, path: str) -> str:
+    """What the first visible file under a path is, by its first bytes; anything else is text."""
     fs, hadoop_path = _file_system(spark, path)
     files = fs.listFiles(hadoop_path, True)
     while files.hasNext():
-        name = files.next().getPath().getName()
-        if not name.startswith(("_", ".")):
-            return name.rsplit(".", 1)[-1].lower()
-    return ""
+        file = files.next().getPath()
+        if not file.getName().startswith(("_", ".")):
+            stream = fs.open(file)
+            try:
+                head = bytes(b for b in (stream.read() for _ in range(4)) if b >= 0)
+            finally:
+                stream.close()
+            return next((kind for magic, kind in MAGIC.items() if head.startswith(magic)), "text")
+    return "text"
 
 
 # listings --------------------------------------------------------------------------------------------
@@ -188,11 +198,15 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(name, is_dir, length) of the direct children of a directory; a directory has no length."""
-    fs, hadoop_path = _file_system(spark, path)
-    rows = [(s.getPath().getName() + ("/" if s.isDirectory() else ""), s.isDirectory(),
-             None if s.isDirectory() else s.getLen()) for s in fs.listStatus(hadoop_path)]
-    return spark.createDataFrame(rows, "name string, is_dir boolean, length long")
+    """(name, is_dir, length) of the direct children of a directory, put together from the listing of its files; a
+    directory has a slash and no length. Hidden files (``_`` and ``.``) and directories without files are not shown."""
+    root = path.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
+    below = F.substr("path", F.instr("path", F.lit(root)) + len(root))
+    is_dir = F.instr(below, "/") > 0
+    name = F.when(is_dir, F.concat(F.substring_index(below, "/", 1), F.lit("/"))).otherwise(below)
+    return (list_files(spark, path).select(name.alias("name"), is_dir.alias("is_dir"), "length")
+            .groupBy("name", "is_dir").agg(F.max("length").alias("_length"))
+            .select("name", "is_dir", F.when(~F.col("is_dir"), F.col("_length")).alias("length")))
 
 
 # staged writes ---------------------------------------------------------------------------------------

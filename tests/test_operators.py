@@ -311,10 +311,11 @@ def test_pure_cycle_is_found(spark, rows):
     assert rows(graph.cycles(nodes_df, edges_df)) == [("a", "cycle"), ("b", "cycle")]
 
 
-def test_tree_order(spark):
+def test_tree_has_a_row_per_job(spark, rows):
     nodes_df, edges_df = tables(spark, ["top", "x", "y", "z"], [("top", "y"), ("top", "x"), ("x", "z"), ("y", "z")])
-    out = [r.path for r in graph.tree(nodes_df, edges_df).orderBy("root", "path").collect()]
-    assert out == ["top", "top/x", "top/x/z", "top/y", "top/y/z"]
+    assert rows(graph.tree(nodes_df, edges_df)) == [
+        ("top", True, '{"name":"top","dependencies":["x","y"]}'), ("x", False, '{"name":"x","dependencies":["z"]}'),
+        ("y", False, '{"name":"y","dependencies":["z"]}'), ("z", False, '{"name":"z","dependencies":[]}')]
 
 
 def test_ready_treats_ignored_as_done(spark, rows):

@@ -22,7 +22,13 @@ def put(folder, name, text):
 
 def test_text_offsets(spark, tmp_path, rows):
     put(tmp_path, "a.txt", "one\ntwo\n\nthree")
-    assert rows(files.read_text(spark, str(tmp_path), offsets=True)) == [(0, "one"), (4, "two"), (8, ""), (9, "three")]
+    got = files.read_text(spark, str(tmp_path), offsets=True)
+    assert rows(got, "offset", "line") == [(0, "one"), (4, "two"), (8, ""), (9, "three")]
+    many = "".join(f"line {n}\r\n" if n % 3 else f"é{n}\n" for n in range(500))
+    put(tmp_path, "more/b.txt", many)
+    raw = many.encode()
+    for r in files.read_text(spark, str(tmp_path / "more"), offsets=True).collect():
+        assert raw[r.offset:].split(b"\n")[0].rstrip(b"\r").decode() == r.line
     with pytest.raises(ValueError, match="input path"):
         files.read_text(spark, None)
 
