@@ -22,7 +22,8 @@ def _split_up(t):
 
 def _drained(t, updates, keys, schema):
     target, checkpoint = scratch_path(t.spark, "updates"), scratch_path(t.spark, "progress")
-    state.start_updates(updates, target, checkpoint).awaitTermination()
+    state.start_updates(updates, target, checkpoint, keys=keys, compact_every=2).awaitTermination()
+    state.compact(t.spark, target, keys, schema)
     return state.read_updates(t.spark, target, keys, schema)
 
 

@@ -25,7 +25,7 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
     return [p.strip() for p in paths.split(",")] if isinstance(paths, str) else list(paths)
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
@@ -84,7 +84,7 @@ def latest(spark: SparkSession, path: str, pick: str = "last") -> str:
     if fixed.LATEST_MARKER not in path:
         return path
     parent = path[:path.index(fixed.LATEST_MARKER)]
-    fs, hadoop_path = _file_system(spark, parent)
+    fs, hadoop_path = file_system(spark, parent)
     names = sorted((s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(hadoop_path))
     if not names:
         raise FileNotFoundError(f"nothing under {parent}")
@@ -175,7 +175,7 @@ MAGIC = {b"PAR1": "parquet", b"Obj\x01": "avro", b"ORC": "orc"}
 
 def _first_kind(spark: SparkSession, path: str) -> str:
     """What the first visible file under a path is, by its first bytes; anything else is text."""
-    fs, hadoop_path = _file_system(spark, path)
+    fs, hadoop_path = file_system(spark, path)
     files = fs.listFiles(hadoop_path, True)
     while files.hasNext():
         file = files.next().getPath()
@@ -221,8 +221,8 @@ def staged_overwrite(df: DataFrame, target: str, staging: str, job: str, format:
     staged = f"{base}/staged"
     df.write.format(format).save(staged)
     spark = df.sparkSession
-    fs, final = _file_system(spark, target)
-    _, new = _file_system(spark, staged)
+    fs, final = file_system(spark, target)
+    _, new = file_system(spark, staged)
     old = _child(spark, base, "replaced")
     fs.mkdirs(final.getParent())
     had_old = fs.exists(final)

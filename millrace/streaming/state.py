@@ -1,7 +1,8 @@
 """Three Structured Streaming jobs: latest state per id, last lines per source, run statistics.
 
 Every job writes its updates as files under the shared folder, one set per micro-batch, and a batch that is
-run again after a failure overwrites its own set. Readers take the newest update of each key.
+run again after a failure overwrites its own set. Readers take the newest update of each key; now and then the
+sets are merged, so that what is read grows with the keys and not with the batches.
 """
 
 from __future__ import annotations
@@ -17,20 +18,49 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace import fixed_values as fixed
 from millrace.operators import groups, ordering
+from millrace.sources import files
 
 SALTS = 16
 
 
-def start_updates(updates: DataFrame, target: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Write each micro-batch's updates to ``target/batch=<id>``, for as long as there is input now."""
+def start_updates(updates: DataFrame, target: str, checkpoint: str, mode: str = "update",
+                  keys: list[str] | None = None, compact_every: int = 20) -> StreamingQuery:
+    """Write each micro-batch's updates to ``target/batch=<id>``, for as long as there is input now.
 
+    With ``keys``, every so many batches all updates so far are merged into one set with a row per key.
+    """
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        if keys and (batch_id + 1) % compact_every == 0:
+            compact(batch.sparkSession, target, keys, updates.schema)
 
     return (updates.writeStream.outputMode(mode).foreachBatch(keep)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def compact(spark: SparkSession, target: str, keys: list[str], schema: T.StructType) -> None:
+    """Merge all sets of updates into the last one, with the newest row of each key.
+
+    The merged set is written aside and renamed into place before older sets are deleted. If that breaks off, the
+    batch is run again over the same sets, or older rows are still there and lose to newer ones.
+    """
+    fs, folder = files.file_system(spark, target)
+    if not fs.exists(folder):
+        return
+    ids = sorted(int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(folder)
+                 if s.getPath().getName().startswith("batch="))
+    if not ids:
+        return
+    aside = f"{target}/_merged-{ids[-1]}"
+    read_updates(spark, target, keys, schema).write.mode("overwrite").parquet(aside)
+    last = files.file_system(spark, f"{target}/batch={ids[-1]}")[1]
+    fs.delete(last, True)
+    if not fs.rename(files.file_system(spark, aside)[1], last):
+        raise OSError(f"cannot move {aside} to {last}")
+    for n in ids[:-1]:
+        fs.delete(files.file_system(spark, f"{target}/batch={n}")[1], True)
+
+
 def read_updates(spark: SparkSession, target: str, keys: list[str], schema: T.StructType) -> DataFrame:
     """The newest update of each key."""
     table = spark.read.schema(T.StructType(schema.fields + [T.StructField("batch", T.LongType())])).parquet(target)

@@ -211,3 +211,19 @@ def test_property_files_continue_and_escape(spark):
     lines = spark.createDataFrame([("f", n, x) for n, x in enumerate(text)], "path string, pos int, line string")
     got = {r.key: r.value for r in records.property_lines(records.logical_lines(lines)).collect()}
     assert got == {"dependencies": "a,b,c", "path": "C:\\tempmore", "k:1 2": "vé=", "even": "x\\", "next": "word", "alone": ""}
+
+
+def test_updates_are_compacted_to_a_row_per_key(spark, tmp_path, rows):
+    arriving, target = str(tmp_path / "in"), str(tmp_path / "updates")
+    schema = "job string, succeeded boolean"
+    for n in range(5):
+        spark.createDataFrame([("a", True), (f"b{n}", False)], schema).coalesce(1).write.mode("append").parquet(arriving)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    stats = state.run_stats(stream)
+    state.start_updates(stats, target, str(tmp_path / "progress"), keys=["job"], compact_every=2).awaitTermination()
+    state.compact(spark, target, ["job"], stats.schema)
+    state.compact(spark, target, ["job"], stats.schema)
+    stored = spark.read.parquet(target)
+    assert stored.count() == 6 and stored.filter("job = 'a'").first().runs == 5
+    assert rows(state.read_updates(spark, target, ["job"], stats.schema)) == [
+        ("a", 5, 5), *[(f"b{n}", 1, 0) for n in range(5)]]
