@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.catalog.registry import query
-from millrace.operators import graph, groups, history, joins
+from millrace.operators import graph, history, joins
 from millrace.operators.joins import JoinInput
 from millrace.plans import phrases
 from millrace.session import written

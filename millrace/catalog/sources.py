@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace import fixed_values as fixed
-from millrace.catalog.derived import NOW
 from millrace.catalog.registry import query
 from millrace.functions import numbers
 from millrace.operators import config as cfg

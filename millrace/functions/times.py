@@ -86,9 +86,6 @@ def format_period(period: Column | str) -> Column:
     return F.when(p.isNotNull(), format_units(part("d"), part("h"), part("m")))
 
 
-def plus_seconds(ts: Column | str, seconds: Column) -> Column:
-    return F.timestamp_add("SECOND", seconds, _col(ts))
-
 
 def date_parts(c: Column | str) -> list[Column]:
     """The start time of a flow in pieces, each a text. The zone is that of the session."""

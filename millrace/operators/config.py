@@ -75,7 +75,8 @@ def interpolate(entries: DataFrame) -> DataFrame:
                   .unionByName(todo.select(*result).withColumn("_ready", F.lit(False)))
                   .select("scope", F.col("key").alias("_name"), F.col("value").alias("_value"),
                           F.col("problem").alias("_problem"), "_ready"))
-        met = todo.join(values, ["scope", "_name"], "left")
+        asked = todo.select("scope", "_name").distinct()  # few, so that most finished entries are left out at once
+        met = todo.join(values.join(asked, ["scope", "_name"], "left_semi"), ["scope", "_name"], "left")
         moved = with_name(
             met.filter(F.coalesce("_ready", F.lit(True)))
             .select("scope", "key",

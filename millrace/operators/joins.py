@@ -94,11 +94,6 @@ def join_inputs(fields: Sequence[str], inputs: Sequence[JoinInput], how: str = "
     return out.select(*fields, *names)
 
 
-def without_partner(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Rows of ``left`` whose key is nowhere in ``right``."""
-    keys = right.select(F.col(right_key).alias(left_key)).distinct()
-    return left.join(keys, left_key, "left_anti")
-
 
 def join_reduce(fields: Sequence[str], inputs: Sequence[JoinInput], start: Callable, state: str, merge: Callable,
                 finish: Callable, schema: str, how: str = "left") -> DataFrame:

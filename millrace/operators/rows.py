@@ -53,10 +53,6 @@ def select_or_default(df: DataFrame, fields: Iterable[str | tuple[str, object]])
     return df.select(*out)
 
 
-def entry_or_default(entries: Column, name: str, default: object) -> Column:
-    """The same rule for one entry of a map column."""
-    return F.when(F.map_contains_key(entries, name), F.element_at(entries, name)).otherwise(F.lit(default))
-
 
 def rename(df: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     """Rename one pair after the other, so that order matters.

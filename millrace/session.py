@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -23,6 +24,11 @@ SETTINGS = {
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "16g",
                   name: str = "millrace") -> SparkSession:
     """A session on this machine, for tests and the bench. On a cluster, pass your own session around."""
+    # Workers import this package too, wherever the session is started from.
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(name)
                .config("spark.driver.memory", memory)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))

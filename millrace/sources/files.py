@@ -91,10 +91,6 @@ def latest(spark: SparkSession, path: str, pick: str = "last") -> str:
     return names[-1 if pick == "last" else 0][1]
 
 
-def latest_partition(df: DataFrame, column: str) -> DataFrame:
-    """The rows of the greatest value of a partition column; the filter prunes partitions when it runs."""
-    return df.filter(F.col(column) == df.agg(F.max(column)).scalar())
-
 
 def tagged_union(inputs: Sequence[DataFrame], tag: str = "index") -> DataFrame:
     """All rows of several inputs with the number of the input each came from; missing columns are null."""

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace import fixed_values as fixed
-from millrace.functions import config_values, json_text, times
+from millrace.functions import json_text, times
 from millrace.operators.rows import level_and_message
 
 # Shape of an execution document.
@@ -209,7 +209,3 @@ def config_lines(entries: DataFrame) -> DataFrame:
 def output_entries(documents: DataFrame, job: str = "job", document: str = "document") -> DataFrame:
     """(job, key, value) out of the output document of each job."""
     return documents.select(F.col(job).alias("job"), F.explode(json_text.output_pairs(document)).alias("key", "value"))
-
-
-def list_items(text: Column | str) -> Column:
-    return config_values.as_list(text)
