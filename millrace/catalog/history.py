@@ -69,15 +69,17 @@ def late_schedules(t):
 
 
 @query("fail_report", r"""
-    WITH failures AS (SELECT DISTINCT run % 50 AS flow, job FROM runs WHERE NOT succeeded),
-    tails AS (SELECT source, string_agg(line, chr(10) ORDER BY pos) AS tail FROM (
+    WITH failures AS (SELECT DISTINCT run % 50 AS flow, unnest([job, 'never run']) AS job FROM runs WHERE NOT succeeded),
+    tails AS (SELECT source, string_agg(line || chr(10), '' ORDER BY pos) AS tail FROM (
         SELECT * FROM lines WHERE length(trim(line)) > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY pos DESC) <= 60) GROUP BY source)
     SELECT flow, CAST(row_number() OVER (PARTITION BY flow ORDER BY f.job) AS BIGINT) AS number, f.job,
            ' Job ' || row_number() OVER (PARTITION BY flow ORDER BY f.job) || '. ' || f.job || ':' || chr(10) || 'failed' || chr(10)
-           || 'See log in http://logs/' || l.log || chr(10) || chr(10) || 'The last 60 lines in the log are:' || chr(10) || t.tail AS text
-    FROM failures f JOIN latest l ON l.job = f.job JOIN tails t ON t.source = l.log""", ("latest", "lines"))
+           || coalesce('See log in http://logs/' || l.log || chr(10) || chr(10) || 'The last 60 lines in the log are:' || chr(10) || t.tail,
+                       'Job execution object is null for jobId:' || f.job || chr(10) || chr(10) || 'Log path is null. ' || chr(10) || chr(10)) AS text
+    FROM failures f LEFT JOIN latest l ON l.job = f.job LEFT JOIN tails t ON t.source = l.log""", ("latest", "lines"))
 def fail_report(t):
-    errors = t.runs.filter("NOT succeeded").select((F.col("run") % 50).alias("flow"), "job", F.lit("failed").alias("error")).distinct()
+    jobs = F.explode(F.array("job", F.lit("never run")))
+    errors = t.runs.filter("NOT succeeded").select((F.col("run") % 50).alias("flow"), jobs.alias("job"), F.lit("failed").alias("error")).distinct()
     return history.fail_report(errors, t.runs, t.lines.withColumnRenamed("source", "log"), "http://logs/")
 
 

@@ -38,3 +38,9 @@ LOG_LINE_PATTERN = r"^(\d{2}-\d{2}-\d{4} \d{2}:\d{2}:\d{2}) (\S+) (\S+) - (.*)$"
 
 # What counts as a separator in a word count.
 WORD_SEPARATORS = r"[ \t\n\r\f]+"
+
+# The wording of a failure report.
+REPORT_JOB = " Job {number}. {job}:\n{error}\n"
+REPORT_NO_RUN = "Job execution object is null for jobId:{job}\n\n"
+REPORT_NO_LOG = "Log path is null. \n\n"
+REPORT_LOG = "See log in {url}{log}\n\nThe last {lines} lines in the log are:\n"

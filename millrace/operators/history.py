@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,17 +100,23 @@ def fail_report(errors: DataFrame, runs: DataFrame, logs: DataFrame, url: str,
     """
     tails = failed_with_tail(errors, runs, logs, lines)
     # Grouped are at most `lines` lines of one job.
+    told = F.concat("line", F.lit("\n"))
     logged = (tails.groupBy("job").agg(
-        F.max("log").alias("log"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n")
+        F.max("log").alias("log"), F.lit(True).alias("has_run"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", told.alias("line")))), lambda x: x["line"]), "")
         .alias("tail")))
     numbered = number_in_flow(errors)
-    head = F.concat(F.lit(" Job "), F.col("number").cast("string"), F.lit(". "), F.col("job"), F.lit(":\n"),
-                    F.col("error"), F.lit("\n"))
-    link = F.when(F.col("log").isNull(), F.lit("Log path is null. \n\n")).otherwise(
-        F.concat(F.lit("See log in " + url), F.col("log"), F.lit(f"\n\nThe last {lines} lines in the log are:\n"),
-                 F.coalesce("tail", F.lit(""))))
-    return numbered.join(logged, "job", "left").select("flow", "number", "job", F.concat(head, link).alias("text"))
+    head = _filled(fixed.REPORT_JOB, number=F.col("number").cast("string"), job=F.col("job"), error=F.col("error"))
+    no_run = F.when(F.col("has_run").isNull(), _filled(fixed.REPORT_NO_RUN, job=F.col("job"))).otherwise(F.lit(""))
+    log = F.when(F.col("log").isNull(), F.lit(fixed.REPORT_NO_LOG)).otherwise(F.concat(
+        _filled(fixed.REPORT_LOG, url=F.lit(url), log=F.col("log"), lines=F.lit(str(lines))), F.coalesce("tail", F.lit(""))))
+    return numbered.join(logged, "job", "left").select("flow", "number", "job", F.concat(head, no_run, log).alias("text"))
+
+
+def _filled(wording: str, **values: Column) -> Column:
+    """A wording with its ``{name}`` places filled in."""
+    pieces = re.split(r"\{(\w+)\}", wording)
+    return F.concat(*[values[p] if n % 2 else F.lit(p) for n, p in enumerate(pieces)])
 
 
 def number_in_flow(errors: DataFrame) -> DataFrame:
