@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Bytes of an Arrow batch that are worked on at once. Spark itself bounds a batch by rows and bytes
-#: (``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``maxBytesPerBatch``).
+#: Bytes of an Arrow batch on its way to Python (Spark's own bound is eight times that), and of the part of it that
+#: is worked on at once.
+BATCH_BYTES = 8 << 20
 SLICE_BYTES = 8 << 20
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch],
-                schema: str | T.StructType) -> DataFrame:
-    """``fn`` over slices of every partition; a slice holds whole rows and about ``SLICE_BYTES``."""
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch to ``BATCH_BYTES``, unless it is lower already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = spark.conf.get(key).lower().removesuffix("b")
+    if not bound.isdigit() or int(bound) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on and waits while others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType,
+                most: int = SLICE_BYTES) -> DataFrame:
+    """``fn`` over slices of every partition; a slice holds whole rows and about ``most`` bytes."""
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                made = fn(part)
-                if isinstance(made, pa.RecordBatch):
-                    yield made
-                else:
-                    yield from made
+            for part in slices(batch, most):
+                yield fn(part)
+        release()
 
     return df.mapInArrow(run, schema)
 

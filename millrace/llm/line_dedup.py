@@ -74,6 +74,7 @@ def put(filter_: np.ndarray, hashes: np.ndarray, bits: int) -> None:
 def filters(docs: DataFrame, least: int, bits: int) -> DataFrame:
     """The two filters of every partition, as chunks."""
     size = 1 << (bits - 3)
+    batches.bound_batches(docs.sparkSession)
 
     def build(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
@@ -90,6 +91,8 @@ def filters(docs: DataFrame, least: int, bits: int) -> DataFrame:
             if once[a:a + CHUNK].any():
                 rows.append((n, part, *(zlib.compress(f[a:a + CHUNK], 1) for f in (once, twice))))
         yield chunk_rows(rows)
+        del once, twice, rows
+        batches.release()
 
     return docs.select("text").mapInArrow(build, FILTERS)
 

@@ -38,6 +38,8 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65535
 DEVIATIONS = 5.0
 #: Members of one side of a tile.
 TILE = 256
+#: Bytes of text that are taken apart at once.
+TEXT_BYTES = 2 << 20
 #: Shingles whose hashes are worked out at once, and columns of a tile's matrices.
 BLOCK, COLUMNS = 1024, 4096
 
@@ -98,7 +100,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return batches.map_batches(
         docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
         .withColumn("row", F.monotonically_increasing_id()), sketch,
-        "doc_id bigint, row bigint, n_shingles bigint, set_hash binary, registers binary")
+        "doc_id bigint, row bigint, n_shingles bigint, set_hash binary, registers binary", TEXT_BYTES)
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -151,7 +153,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(mine)), batches.int_lists(flat, offsets)],
                                           ["node", "shingles"])
 
-    return batches.map_batches(read, again, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+    return batches.map_batches(read, again, "node bigint, shingles array<bigint>", TEXT_BYTES).dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -59,6 +59,7 @@ class Windows:
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, open_windows: int) -> DataFrame:
     """The pieces as each partition places them; ``open`` marks those in windows that were open at the end."""
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
+    batches.bound_batches(docs.sparkSession)
 
     def run(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(TaskContext.get().partitionId(), length, open_windows)
