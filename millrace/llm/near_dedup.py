@@ -88,19 +88,21 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, row, n_shingles, set_hash, registers) of every row; no hash and registers where there is no set."""
+    """(doc_id, row, text_hash, n_shingles, set_hash, registers) of every row; the last two are null where there is no
+    set."""
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = words.shingle_sets(batches.texts(batch), size)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()),
+            [batch.column("doc_id"), batch.column("row"), batch.column("text_hash"),
+             pa.array([len(s) for s in sets], pa.int64()),
              pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
              pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-            ["doc_id", "row", "n_shingles", "set_hash", "registers"])
+            ["doc_id", "row", "text_hash", "n_shingles", "set_hash", "registers"])
 
     return batches.map_batches(
-        docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
+        docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
         .withColumn("row", F.monotonically_increasing_id()), sketch,
-        "doc_id bigint, row bigint, n_shingles bigint, set_hash binary, registers binary", TEXT_BYTES)
+        "doc_id bigint, row bigint, text_hash bigint, n_shingles bigint, set_hash binary, registers binary", TEXT_BYTES)
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -137,10 +139,14 @@ def likely(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) for ``nodes`` (node, doc_id, set_hash): their texts are read again and taken apart."""
-    wanted = nodes.select("node", F.col("doc_id").alias("id"), "set_hash")
+    """(node, shingles) for ``nodes`` (node, doc_id, text_hash, set_hash): their texts are read again and taken apart.
+
+    Texts are found by id and hash, so that any number of rows without an id is no matter.
+    """
+    wanted = nodes.select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "set_hash")
     read = (docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text")
-            .join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "set_hash", "text"))
+            .join(wanted, (F.xxhash64("text") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
+            .select("node", "set_hash", "text"))
 
     def again(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = words.shingle_sets(batches.texts(batch), size)
@@ -246,17 +252,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     pairs = written(likely(pairs, sketched, percent), "likely")
     large = members.filter("n > 2").select("key", "node", "center")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
-    nodes = needed.join(sketched.select(F.col("row").alias("node"), "doc_id", "set_hash"), "node")
+    nodes = needed.join(sketched.select(F.col("row").alias("node"), "doc_id", "text_hash", "set_hash"), "node")
     sets = written(full_sets(docs, nodes, size), "sets")
     links = written(confirmed(pairs, sets, percent), "confirmed")
     labels = components(links)
     more = written(remaining_links(large, labels, sets, percent), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    rows = (sketched.select("doc_id", "row", "n_shingles", "set_hash").join(class_of, "set_hash", "left")
-            .join(labels, "node", "left")
-            .select("doc_id", "row", "n_shingles", F.coalesce("label", "node", F.col("row")).alias("label")))
-    # A row without a set is alone; its place can't be that of a class.
+    slim = sketched.select("doc_id", "row", "n_shingles", "set_hash")
+    rows = (slim.filter("n_shingles > 0").join(class_of, "set_hash").join(labels, "node", "left")
+            .select("doc_id", "row", "n_shingles", F.coalesce("label", "node").alias("label"))
+            # A row without a set is alone; its place can't be that of a class.
+            .unionByName(slim.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("row").alias("label"))))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     firsts = rows.groupBy("label").agg(F.min(order).alias("first"))
     return rows.join(firsts, "label").select(
