@@ -15,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,11 +27,12 @@ from pyspark.sql import functions as F
 from millrace.llm import batches
 from millrace.session import written
 
-# The three patterns, the least length of what counts of a match, and the order of the kinds.
+# The three patterns with the least length of what counts, and the order of the kinds. A run of
+# [0-9a-f] of 24 is the same as a match of {24,}; so it is behind AKIA, where a later start has a shorter tail.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
-LEAST = {"assign": 6, "access": 20, "hex": 24}
+ASSIGN_LEAST = 6
+ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
+HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "learned")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -42,27 +45,24 @@ ALPHA, VISITS = 0.05, 8
 MARGIN, MARGIN_EACH = 12.0, 0.4
 
 
-# A maximal run of HEX of 24 is the same as a run found with {24,}; likewise for ACCESS, whose tail alone counts.
-_LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-_LONG_ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
-
-
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, credential) of the patterns' matches, by start and kind."""
     found = []
     low = text.lower()
     if any(word in low for word in WORDS):
-        found += [(m.start(), m.end(), "assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
+        found += [(m.start(), m.end(), "assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     if "AKIA" in text:
-        found += [(m.start(), m.end(), "access", m[0]) for m in _LONG_ACCESS.finditer(text)]
-    found += [(m.start(), m.end(), "hex", m[0]) for m in _LONG_HEX.finditer(text)]
+        found += [(m.start(), m.end(), "access", m[0]) for m in ACCESS.finditer(text)]
+    found += [(m.start(), m.end(), "hex", m[0]) for m in HEX.finditer(text)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def other_tokens(text: str, base: list[tuple]) -> list[tuple[int, int, str]]:
     """Tokens that touch none of the spans."""
-    found = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
-    return [t for t in found if not any(t[0] < end and start < t[1] for start, end, *_ in base)] if found else found
+    starts = [span[0] for span in base]
+    reach = [0, *accumulate((span[1] for span in base), max)]  # how far the spans before each one go
+    found = ((m.start(), m.end(), m[0]) for m in TOKEN.finditer(text))
+    return [t for t in found if reach[bisect_left(starts, t[1])] <= t[0]]
 
 
 class Automaton:

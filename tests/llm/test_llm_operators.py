@@ -268,6 +268,16 @@ def test_secrets(make):
         assert any(r.base_sha256 == wanted for (doc, _), r in got.items() if doc == n), (n, text[:50])
 
 
+def test_other_tokens_touch_no_span():
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice(["AKIA", "0f" * 13, "token=", " ", "x" * 25, "Zz9" * 9, "\n"]) for _ in range(12))
+        base = secrets.base_spans(text)
+        wanted = [(m.start(), m.end(), m[0]) for m in secrets.TOKEN.finditer(text)
+                  if not any(m.start() < e and s < m.end() for s, e, *_ in base)]
+        assert secrets.other_tokens(text, base) == wanted
+
+
 def test_learned_formats():
     rng = random.Random(5)
     hexes = {"".join(rng.choice("0123456789abcdef") for _ in range(40)): 1 for _ in range(200)}
