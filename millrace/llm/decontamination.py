@@ -2,9 +2,10 @@
 
 A seed is a mask over ``SPAN`` words: it hashes the words at its places and ignores the others, so a passage with
 words exchanged at ignored places still hits. A window's places fall into four phases and each mask looks at two of
-them, so any two exchanged words of a window leave one mask whole. Hashes of benchmark windows go into a Bloom filter of bounded size; a document's windows that it
-knows are joined with the benchmark's hashes, and each hit's diagonal (document place less benchmark place) is
-verified word by word: along it, the best stretch scores one for an equal word and loses ``LOSS`` for another.
+them, so any two exchanged words of a window leave one mask whole. Hashes of benchmark windows go into a Bloom filter
+of bounded size; a document's windows that it knows are joined with the benchmark's hashes, and each hit's diagonal
+(document place less benchmark place) is verified word by word: along it, the best stretch scores one for an equal
+word and loses ``LOSS`` for another.
 A document is contaminated by an item if ``least`` words, or all words of a shorter item, are equal in that stretch.
 
 Words are runs of letters and digits (others separate them), in lower case. Items of fewer words than a window are
@@ -181,8 +182,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFr
              .select("row", F.col("h.hashes").alias("hash"), F.col("h.ats").alias("doc_at"))
              .join(hashed, "hash").select("row", "item", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct()
              .groupBy("row", "item").agg(F.collect_list("diagonal").alias("diagonals")))
-    aligned = (pairs.join(hit.select("row", "doc_id", "words"), "row")
-               .join(items.select("item", "item_id", "text"), "item"))
+    # The items' texts come first, to the small pairs; the documents' words are shuffled by document only.
+    aligned = (pairs.join(items.select("item", "item_id", "text"), "item")
+               .join(hit.select("row", "doc_id", "words"), "row"))
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         theirs, offsets = words.word_hashes(batch.column("text"))
