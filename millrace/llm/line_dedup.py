@@ -34,6 +34,8 @@ PROBES = 2
 CHUNK = 1 << 16
 FAN = 64
 LEAST = 10
+#: Pieces that the holders of a line are dealt into when they are told which document holds it first.
+SALTS = 32
 FILTERS = "chunk int, part bigint, once binary, twice binary"
 
 
@@ -169,10 +171,10 @@ def dedup(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
          T.StructField("suspects", T.ArrayType(T.BinaryType()))])), "suspects")
     # The place of a document: its id, and behind all ids where there is none.
     held = looked.select("row", F.coalesce(F.col("value.doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"),
-                         F.explode("suspects").alias("key"))
+                         F.pmod("row", F.lit(SALTS)).alias("salt"), F.explode("suspects").alias("key"))
     repeated = (held.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-                .filter("first < last").select("key", "first"))
-    losing = (held.join(repeated, "key").filter("doc > first")
+                .filter("first < last").select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    losing = (held.join(repeated.withColumn("salt", F.col("salt").cast("bigint")), ["key", "salt"]).filter("doc > first")
               .groupBy("row").agg(F.collect_list("key").alias("lost")))
 
     def drop(batch: pa.RecordBatch) -> pa.RecordBatch:
