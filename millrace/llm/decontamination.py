@@ -119,7 +119,7 @@ def known(filter_: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     return at[good]
 
 
-def stretches(doc: np.ndarray, item: np.ndarray, diagonals: list[int], least: int) -> tuple[int, int, int]:
+def stretches(doc: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[int, int, int]:
     """Equal words of the best stretch over some diagonals, and the stretch in the document (end exclusive)."""
     best = (0, 0, 0)
     for d in diagonals:
@@ -191,7 +191,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFr
         rows = []
         for n, (own, diagonals) in enumerate(zip(batch.column("words"), batch.column("diagonals").to_pylist())):
             item = theirs[offsets[n]:offsets[n + 1]]
-            equal, a, b = stretches(own.values.to_numpy().view(np.uint64), item, diagonals, least)
+            equal, a, b = stretches(own.values.to_numpy().view(np.uint64), item, diagonals)
             if equal >= min(least, len(item)):
                 rows.append((n, len(item), equal, a, b))
         columns = np.array(rows, np.int64).reshape(-1, 5).T
