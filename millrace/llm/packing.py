@@ -25,6 +25,8 @@ from millrace.session import written
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, open boolean")
 WINDOWS = "part bigint, fill bigint, members array<struct<sequence_id: bigint, shift: bigint>>"
+#: Bytes of text that are cut at once.
+TEXT_BYTES = 3 << 20
 #: Partitions, or groups of the level below, whose open windows are merged together.
 FAN = 64
 
@@ -64,8 +66,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, open_windo
     def run(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(TaskContext.get().partitionId(), length, open_windows)
         for batch in arriving:
-            for part in batches.slices(batch):
+            for part in batches.slices(batch, TEXT_BYTES):
                 yield cut(part, windows)
+        batches.release()
         # The windows still open are told by rows of their own: no document, the sequence and its fill.
         n = len(windows.fill)
         none = pa.nulls(n, pa.int64())

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from millrace.llm import batches
 
 #: Distinct words that a worker remembers; beyond that, those seen once are forgotten.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 # How the two vocabularies cut plain ASCII texts into pieces before merging.
 LOWER_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
