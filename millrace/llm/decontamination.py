@@ -4,8 +4,8 @@ A seed is a mask over ``SPAN`` words: it hashes the words at its places and igno
 words exchanged at ignored places still hits. A window's places fall into four phases and each mask looks at two of
 them, so any two exchanged words of a window leave one mask whole. Hashes of benchmark windows go into a Bloom filter
 of bounded size; a document's windows that it knows are joined with the benchmark's hashes, and each hit's diagonal
-(document place less benchmark place) is verified word by word: along it, the best stretch scores one for an equal
-word and loses ``LOSS`` for another.
+(document place less benchmark place) is verified word by word: of all its stretches in which no more than one word
+for each ``LOSS`` equal ones differs, the one with most equal words counts.
 A document is contaminated by an item if ``least`` words, or all words of a shorter item, are equal in that stretch.
 
 Words are runs of letters and digits (others separate them), in lower case. Items of fewer words than a window are
@@ -28,7 +28,7 @@ from millrace.session import written
 SPAN = 12
 PHASES = tuple(tuple(range(n, SPAN, 4)) for n in range(4))
 MASKS = tuple(tuple(sorted(a + b)) for n, a in enumerate(PHASES) for b in PHASES[:n])
-#: Equal words that make a passage, and what an unequal one costs: at least four in five words are equal.
+#: Equal words that make a passage, and how many of them an unequal one needs: at least four in five words are equal.
 LEAST = 13
 LOSS = 4
 #: Bits of the filter for each benchmark hash, as powers of two, within bounds (2^28 bits: 32 MB).
@@ -120,20 +120,24 @@ def known(filter_: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
 
 
 def stretches(doc: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[int, int, int]:
-    """Equal words of the best stretch over some diagonals, and the stretch in the document (end exclusive)."""
+    """Most equal words of a stretch, over some diagonals, that has ``LOSS`` equal words for each unequal one, and that
+    stretch in the document (end exclusive), without unequal words at its ends."""
     best = (0, 0, 0)
     for d in diagonals:
         a, b = max(0, d), min(len(doc), d + len(item))
         if b - a < 1:
             continue
         equal = doc[a:b] == item[a - d:b - d]
-        score = np.cumsum(np.where(equal, 1, -LOSS))
-        before = np.minimum(0, np.concatenate([[0], np.minimum.accumulate(score)[:-1]]))
-        end = int(np.argmax(score - before))
-        start = int(np.flatnonzero(np.concatenate([[0], score[:end + 1]])[:end + 1] == before[end])[-1])
-        n = int(equal[start:end + 1].sum())
+        score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -LOSS))])
+        count = np.concatenate([[0], np.cumsum(equal)])
+        # For each end, the first start whose score is not above the end's: the longest stretch, so most equal words.
+        starts = np.searchsorted(-np.minimum.accumulate(score), -score)
+        held = count - count[starts]
+        end = int(np.argmax(held))
+        n = int(held[end])
         if n > best[0]:
-            best = (n, a + start, a + end + 1)
+            start = int(starts[end])
+            best = (n, a + start + int(np.argmax(equal[start:end])), a + end)
     return best
 
 

@@ -246,6 +246,34 @@ def test_masks_survive_any_two_exchanges():
             assert any(a not in m and b not in m for m in decontamination.MASKS)
 
 
+def test_exchanged_words_hide_no_item():
+    """One and two exchanged words in items of 13 to 25 words, against all stretches one by one."""
+    for n in range(13, 26):
+        item, least = np.arange(1, n + 1).astype(np.uint64), min(decontamination.LEAST, n)
+        for a in range(n):
+            for b in range(a, n):
+                doc = item.copy()
+                doc[[a, b]] = 0
+                equal = [x not in (a, b) for x in range(n)]
+                most = max(k for i in range(n) for j in range(i + 1, n + 1)
+                           if 5 * (k := sum(equal[i:j])) >= 4 * (j - i))
+                doc = np.concatenate([np.full(3, 99, np.uint64), doc, np.full(2, 98, np.uint64)])
+                k, first, last = decontamination.stretches(doc, item, [3, 4])
+                assert k == most and (k >= least) == (most >= least)
+                same = doc[first:last] == item[first - 3:last - 3]
+                assert same.sum() == k and 5 * k >= 4 * (last - first) and same[0] and same[-1]
+
+
+def test_one_exchanged_word_in_seventeen(spark, make):
+    words = [f"w{n}" for n in range(17)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    docs = make([(n, " ".join(["before", *words[:n], "other", *words[n + 1:], "behind"])) for n in range(17)])
+    found = {r.doc_id: r for r in decontamination.contaminated(docs, bench).collect()}
+    assert sorted(found) == list(range(17)) and all(r.n_equal == 16 for r in found.values())
+    assert (found[4].first_word, found[4].last_word) == (1, 18)
+    assert decontamination.clean(docs, bench).count() == 0
+
+
 def test_secrets(make):
     key = "AKIA" + "ABCDEFGH12345678"
     cases = [f'password = "hunter22" x {key} y', "API_KEY: abc password:token = abcdefgh", "deadbeef" * 3 + "z",
