@@ -33,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
+    """Pieces of sequences of 1024 tokens: the ids of each, and their digest."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

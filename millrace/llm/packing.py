@@ -2,7 +2,9 @@
 
 Every partition cuts its documents into full sequences and a rest. Rests go to the open window that they fill
 best; when none has room, the fullest is closed and a new one opened. What is open at the end of a partition is
-merged in a tree of small groups, best fit again, so no task sees more than ``FAN * open_windows`` windows.
+merged in a tree of small groups, best fit again, so no task sees more than ``FAN * open_windows`` windows. A piece
+carries its ids all the way. Those of open windows wait in memory, at most ``open_windows * length`` ids, and are told
+apart from the others, so only they take part in the join that moves them.
 
 A document's tokens are its ids and one end id. Null texts count as empty and give a piece of one token. Rows with
 equal or null ids are documents of their own. Other columns are not looked at. An empty table gives no pieces.
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 from millrace.llm import batches, pretokens
 from millrace.session import written
 
-PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
-          "offset bigint, open boolean")
+PIECES = ("doc_id bigint, start bigint, length bigint, ids array<int>, doc_tokens bigint, sequence_id bigint, "
+          "offset bigint, fill bigint, open boolean")
+PACKED = ("doc_id bigint, start bigint, length bigint, ids array<int>, ids_crc32 bigint, doc_tokens bigint, "
+          "sequence_id bigint, offset bigint")
 WINDOWS = "part bigint, fill bigint, members array<struct<sequence_id: bigint, shift: bigint>>"
 #: Bytes of text that are cut at once.
 TEXT_BYTES = 3 << 20
@@ -37,25 +41,52 @@ class Windows:
     def __init__(self, part: int, length: int, most: int):
         self.length, self.most, self.next = length, most, part << 33
         self.fill: dict[int, int] = {}
+        #: The pieces of each open sequence, and those of sequences closed since they were last taken.
+        self.held: dict[int, list[tuple]] = {}
+        self.done: list[tuple] = []
 
     def new(self) -> int:
         self.next += 1
         return self.next - 1
 
-    def place(self, size: int) -> tuple[int, int]:
-        """The sequence for a rest of ``size`` tokens, and its offset there."""
+    def close(self, sequence: int) -> None:
+        del self.fill[sequence]
+        self.done += self.held.pop(sequence)
+
+    def place(self, doc_id: int | None, start: int, ids: np.ndarray, doc_tokens: int) -> None:
+        """Put a document's rest into a sequence, behind what is there."""
         best, most = None, -1
         for sequence, fill in self.fill.items():
-            if most < fill <= self.length - size:
+            if most < fill <= self.length - len(ids):
                 best, most = sequence, fill
         if best is None:
             if len(self.fill) == self.most:
-                del self.fill[max(self.fill, key=self.fill.get)]
+                self.close(max(self.fill, key=self.fill.get))
             best, most = self.new(), 0
-        self.fill[best] = most + size
+            self.held[best] = []
+        self.fill[best] = most + len(ids)
+        # A copy, so that no more of the batch than the rest stays in memory.
+        self.held[best].append((doc_id, start, ids.copy(), doc_tokens, best, most))
         if self.fill[best] == self.length:
-            del self.fill[best]
-        return best, most
+            self.close(best)
+
+    def taken(self) -> list[tuple]:
+        done, self.done = self.done, []
+        return done
+
+
+def piece_rows(rows: list[tuple], fills: dict[int, int] | None = None) -> pa.RecordBatch:
+    """Pieces as a batch; those of open windows come with the fills of these."""
+    doc_ids, starts, ids, doc_tokens, sequences, offsets = zip(*rows) if rows else [()] * 6
+    lengths = np.array([len(x) for x in ids], np.int64)
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths),
+         batches.int_lists(flat.astype(np.int32, copy=False), batches.offsets_of(lengths)),
+         pa.array(doc_tokens, pa.int64()), pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64()),
+         pa.array([fills[s] if fills else None for s in sequences], pa.int64()),
+         pa.array([fills is not None] * len(rows), pa.bool_())],
+        ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "fill", "open"])
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, open_windows: int) -> DataFrame:
@@ -69,30 +100,19 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int, open_windo
             for part in batches.slices(batch, TEXT_BYTES):
                 yield cut(part, windows)
         batches.release()
-        # The windows still open are told by rows of their own: no document, the sequence and its fill.
-        n = len(windows.fill)
-        none = pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, none, pa.array(windows.fill.keys(), pa.int64()),
-             pa.array(windows.fill.values(), pa.int64()), pa.array([True] * n, pa.bool_())],
-            ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "open"])
+        yield piece_rows([piece for held in windows.held.values() for piece in held], windows.fill)
 
     def cut(batch: pa.RecordBatch, windows: Windows) -> pa.RecordBatch:
         ids, offsets = pretokens.spaced_words(tokenizer)(batches.texts(batch))
         ids = np.insert(ids, offsets[1:], end_id).astype("<i4")
-        offsets = offsets + np.arange(len(offsets))
-        raw, rows = memoryview(ids).cast("B"), []
-        for n, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            for start in range(0, b - a, length):
-                size = min(length, b - a - start)
-                sequence, offset = (windows.new(), 0) if size == length else windows.place(size)
-                crc = zlib.crc32(raw[4 * (a + start):4 * (a + start + size)])
-                rows.append((n, start, size, crc, b - a, sequence, offset))
-        columns = np.array(rows, np.int64).reshape(-1, 7).T
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(columns[0])), *[pa.array(c) for c in columns[1:]],
-             pa.array(np.zeros(len(rows), bool))],
-            ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "open"])
+        offsets = (offsets + np.arange(len(offsets))).tolist()
+        rows = []
+        for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1], offsets[1:]):
+            whole = a + (b - a) // length * length
+            rows += [(doc_id, at - a, ids[at:at + length], b - a, windows.new(), 0) for at in range(a, whole, length)]
+            if whole < b:
+                windows.place(doc_id, whole - a, ids[whole:b], b - a)
+        return piece_rows(rows + windows.taken())
 
     return docs.mapInArrow(run, PIECES)
 
@@ -122,14 +142,28 @@ def merge_once(windows: DataFrame, length: int, keep: int) -> DataFrame:
     return windows.groupBy(F.expr(f"part div {FAN}L")).applyInArrow(merged, WINDOWS)
 
 
+def with_digests(packed: DataFrame) -> DataFrame:
+    """Packed pieces with ``ids_crc32``, the crc32 of the ids that came out, as little-endian int32."""
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("ids")
+        raw = memoryview(lists.values.to_numpy().astype("<i4", copy=False)).cast("B")
+        at = lists.offsets.to_pylist()
+        crcs = pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(at[:-1], at[1:])], pa.int64())
+        columns = dict(zip(batch.schema.names, batch.columns)) | {"ids_crc32": crcs}
+        names = [c.split()[0] for c in PACKED.split(", ")]
+        return pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+    return batches.map_batches(packed, digest, PACKED)
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, open_windows: int = 48) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece.
+    """(doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset) of every piece.
 
     The placed pieces are written once, so that all that follows sees the same placement whatever is lost.
     """
     placed = written(pieces(docs, tokenizer, end_id, length, open_windows), "pieces")
-    windows = placed.filter("open").select(
-        F.shiftright("sequence_id", 33).alias("part"), F.col("offset").alias("fill"),
+    windows = placed.filter("open").groupBy("sequence_id").agg(F.max("fill").alias("fill")).select(
+        F.shiftright("sequence_id", 33).alias("part"), "fill",
         F.array(F.struct("sequence_id", F.lit(0).cast("bigint").alias("shift"))).alias("members"))
     parts = (placed.filter("open").agg(F.max(F.shiftright("sequence_id", 33))).first()[0] or 0) + 1
     final = None
@@ -143,7 +177,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, o
         windows = windows.filter("part >= 0")
     moved = final.select(F.col("members")[0]["sequence_id"].alias("into"), F.explode("members").alias("m")).select(
         F.col("m.sequence_id").alias("sequence_id"), "into", "m.shift")
-    return (placed.filter("not open").join(moved, "sequence_id", "left")
-            .select("doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                    F.coalesce("into", "sequence_id").alias("sequence_id"),
-                    (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")))
+    names = ["doc_id", "start", "length", "ids", "doc_tokens"]
+    stayed = placed.filter("not open").select(*names, "sequence_id", "offset")
+    merged = placed.filter("open").join(moved, "sequence_id").select(
+        *names, F.col("into").alias("sequence_id"), (F.col("offset") + F.col("shift")).alias("offset"))
+    return with_digests(stayed.unionByName(merged))

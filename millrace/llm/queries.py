@@ -69,7 +69,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -136,6 +136,19 @@ def test_packing(odd):
         assert at <= 256
 
 
+def test_packed_sequences_hold_the_documents_ids(odd):
+    library = pretokens.load(BYTE)
+    rows = packing.pack(odd, BYTE, length=256, open_windows=3).collect()
+    wanted = collections.Counter()
+    for doc, text in texts(odd):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        wanted.update((doc, n, *ids[n:n + 256]) for n in range(0, len(ids), 256))
+    assert collections.Counter((r.doc_id, r.start, *r.ids) for r in rows) == wanted
+    assert all(len(r.ids) == r.length and crc(r.ids) == r.ids_crc32 for r in rows)
+    shared = collections.Counter(r.sequence_id for r in rows)
+    assert max(shared.values()) > 1 and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
 def test_open_windows_merge_over_levels(spark):
     rng = random.Random(1)
     rows = [(p, rng.randint(1, 1023), [(p << 33, 0)]) for p in range(200)]
