@@ -24,12 +24,12 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    # A null text has no bytes; its size is the one byte that every row adds.
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = documents(spark, folder).select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),
-                                           F.crc32(text).alias("text_crc32"))
-    return sharding.shuffle(rows, shards=8).select("value.*", F.lit("rows").alias("law"), "shard", "slot",
-                                                   F.lit(None).cast("int").alias("grown_shard"))
+    # Size and digest are those of the text that arrived. A null text has no bytes; its size is the one byte that every
+    # row adds.
+    text = F.coalesce("value.text", F.lit("")).cast("binary")
+    return sharding.shuffle(documents(spark, folder), shards=8).select(
+        "value.doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_vector_search(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import (components, decontamination, line_dedup, near_dedup, packing, pretokens, quality, secrets,
+from millrace.llm import (components, decontamination, line_dedup, near_dedup, packing, pretokens, quality, queries, secrets,
                           sharding, token_counts, token_files, vector_search)
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -175,6 +175,20 @@ def test_sharding(spark, odd):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_sharding_moves_the_texts(spark, odd, tmp_path, monkeypatch):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op2_sharding(spark, str(tmp_path)).collect()
+    raw = [(doc, text.encode()) for doc, text in texts(odd)]
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == collections.Counter(
+        (doc, len(t) + 1, zlib.crc32(t)) for doc, t in raw)
+    # What is lost on the way shows in the digests.
+    shuffle = sharding.shuffle
+    monkeypatch.setattr(sharding, "shuffle", lambda *a, **b: shuffle(*a, **b).withColumn(
+        "value", F.col("value").withField("text", F.lit("lost"))))
+    rows = queries.op2_sharding(spark, str(tmp_path)).collect()
+    assert {(r.size, r.text_crc32) for r in rows} == {(5, zlib.crc32(b"lost"))}
+
+
 def test_hypergeometric_has_its_mean_and_spread(spark):
     """5,000 draws of 30 of 100 rows, 40 of them marked."""
     sql = sharding.hypergeometric("100D", "40D", "30D", "u")
