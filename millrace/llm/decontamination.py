@@ -213,8 +213,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> D
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs`` that hold no item. ``docs`` is a table as written: its rows are numbered twice alike."""
-    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("value")).withColumn(
-        "row", F.monotonically_increasing_id())
+    """The rows of ``docs`` that hold no item. The rows are numbered and written once; the matches and what takes them
+    out both start from that table."""
+    numbered = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("value")).withColumn(
+        "row", F.monotonically_increasing_id()), "numbered")
     bad = matches(numbered.select("value.doc_id", "value.text", "row"), benchmark, least).select("row").distinct()
     return numbered.join(written(bad, "contaminated"), "row", "left_anti").select("value.*")

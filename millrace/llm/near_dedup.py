@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import batches, words
@@ -87,7 +87,7 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
     return (low + high) / 2
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
+def sketches(docs: DataFrame, size: int, row: Column) -> DataFrame:
     """(doc_id, row, text_hash, n_shingles, set_hash, registers) of every row; the last two are null where there is no
     set."""
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -100,8 +100,8 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             ["doc_id", "row", "text_hash", "n_shingles", "set_hash", "registers"])
 
     return batches.map_batches(
-        docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-        .withColumn("row", F.monotonically_increasing_id()), sketch,
+        docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"),
+                    row.alias("row")), sketch,
         "doc_id bigint, row bigint, text_hash bigint, n_shingles bigint, set_hash binary, registers binary", TEXT_BYTES)
 
 
@@ -235,12 +235,13 @@ def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame, perc
             .groupBy("key", "o", "m").applyInArrow(tile, "a bigint, b bigint"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, row: Column | None = None) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, kept): the component of every row and whether it is its first.
 
-    The sketches are written once; rows are told apart by ``row`` in that table.
+    The sketches are written once; rows are told apart by ``row`` in that table, a number of ``docs`` or else their place
+    in the scan.
     """
-    sketched = written(sketches(docs, size), "sketches")
+    sketched = written(sketches(docs, size, F.monotonically_increasing_id() if row is None else row), "sketches")
     class_of = written(sketched.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("row").alias("node")), "classes")
     reps = sketched.join(class_of.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node")
     bands = banded(reps)
@@ -272,9 +273,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component. ``docs`` is a table as written: its rows are
-    numbered twice alike, once for the sketches and once to take the others out."""
-    others = written(near_duplicates(docs, size, percent).filter("not kept").select("row"), "others")
-    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("value")).withColumn(
-        "row", F.monotonically_increasing_id())
+    """The rows of ``docs`` that are the first of their component. The rows are numbered and written once; the sketches
+    and what takes the others out both start from that table."""
+    numbered = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("value")).withColumn(
+        "row", F.monotonically_increasing_id()), "numbered")
+    others = written(near_duplicates(numbered.select("value.doc_id", "value.text", "row"), size, percent, F.col("row"))
+                     .filter("not kept").select("row"), "others")
     return numbered.join(others, "row", "left_anti").select("value.*")

@@ -400,6 +400,23 @@ def test_near_duplicates(make):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_stay_the_same_when_files_are_split_anew(spark, make):
+    """Another plan of the scan between the decision and the last join, as after the loss of an executor."""
+    copy, item = prose(60, 700), prose(30, 701)
+    near = make([(n, copy if n % 3 == 1 else prose(60, 710 + n)) for n in range(24)], parts=6)
+    held = make([(n, f"{prose(20, 740 + n)} {item if n % 3 == 1 else prose(30, 770 + n)}") for n in range(24)], parts=6)
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = [near_dedup.first_of_each(near), decontamination.clean(held, bench)]
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        ids = [sorted(r.doc_id for r in df.collect()) for df in kept]
+    finally:
+        spark.conf.set(key, before)
+    assert ids == [[n for n in range(24) if n % 3 != 1 or n == 1], [n for n in range(24) if n % 3 != 1]]
+
+
 def test_tiles_find_what_the_first_class_misses():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(30)]
