@@ -108,3 +108,9 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def int_lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+def float_lists(lists: list[np.ndarray]) -> pa.ListArray:
+    values = np.concatenate(lists).astype(np.float64, copy=False) if lists else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(offsets_of(np.array([len(x) for x in lists], np.int64)).astype(np.int32)),
+                                    pa.array(values))

@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as queries over the provided tables."""
+"""The operators as queries over the provided tables."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import (decontamination, line_dedup, near_dedup, packing, quality, secrets, sharding, token_counts,
-                          token_files, vector_search)
+from millrace.llm import (cross_tokens, decontamination, hard_negatives, line_dedup, near_dedup, order_minhash, packing,
+                          quality, secrets, sharding, token_counts, token_files, vector_search)
 from millrace.session import scratch_path
 
 
@@ -72,6 +72,21 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").withColumn("label", label)
+    return hard_negatives.mine(vectors, F.expr("vec_id % 50 = 0"))
+
+
+def op12_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.with_next(documents(spark, folder))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_tokens.align(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"),
+                              public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_sharding": op2_sharding,
@@ -83,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: Every other row against each query, whole; few enough at the sizes that the comparison uses.
@@ -150,8 +168,31 @@ SELECT s.doc_id, len(s.s) AS n_shingles, min(r.b) AS component_id, s.doc_id = mi
 FROM sets s JOIN reached r ON s.doc_id = r.a GROUP BY s.doc_id, s.s
 """
 
+HARD_NEGATIVES = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+           CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+    FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+     AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 ORACLES: dict[str, str] = {"op3_vector_search": VECTOR_SEARCH, "op6_near_dedup": NEAR_DEDUP,
-                           "op8_line_dedup": LINE_DEDUP}
+                           "op8_line_dedup": LINE_DEDUP, "op11_hard_negatives": HARD_NEGATIVES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
