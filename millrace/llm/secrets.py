@@ -2,12 +2,17 @@
 
 The patterns' matches are the labelled credentials. A prefix tree of a bounded sample of them is folded into a
 probabilistic automaton: two states merge if their symbols' and ends' frequencies, and those of what follows, are
-statistically compatible (Hoeffding's bound). All other tokens of ``TOKEN`` characters are then scored by how much
-likelier the automaton makes them than a model of ordinary tokens does; those above ``MARGIN`` are added as spans of
-the kind ``learned``. Spans of the patterns always stay.
-
-Spans count code points, the end is exclusive. Null texts count as empty. Every row gives one row, equal or null ids
-included. Other columns are not looked at. Without any credential nothing is added.
+statistically compatible (Hoeffding's bound). All other tokens of ``SHORTEST`` characters or more, of the characters that
+a credential may have, are candidates, and all of them teach a model of ordinary tokens (which symbol follows which).
+The candidates that the automaton makes enough likelier than that model does are added as spans of the kind ``learned``:
+enough is what outweighs how many candidates there are for each labelled credential, ``CERTAIN`` times over, and
+``MARGIN_EACH`` for each symbol. The ordinary model is fitted in rounds, each without the candidates that the one before
+finds likelier to be credentials, so that these don't count as ordinary. Spans of the patterns always stay.
+
+Credentials under ``SHORTEST`` characters or over ``LONGEST`` teach no format, and dots behind a candidate are no part of
+it. Spans count code points, the end is exclusive. Null texts count as empty; very long texts are read in whole. Every
+row gives one row, equal or null ids included. Other columns are not looked at. Without any credential nothing is added;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,9 +22,9 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +41,18 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "learned")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Tokens that are scored, and those a credential sample may hold.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-SAMPLE, LONGEST = 600, 96
+#: Lengths of credentials that formats are learned from, and the sample of them. Tokens from the shortest on are scored.
+SHORTEST, LONGEST, SAMPLE = 16, 96, 600
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}(?<!\.)" % SHORTEST)
+#: All symbols of a token; the number behind the last stands for its ends.
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: The test's confidence, and the visits under which a state is compatible with any.
 ALPHA, VISITS = 0.05, 8
-#: Natural-log likelihood ratio, for the whole token and for each symbol, that makes a token a secret.
-MARGIN, MARGIN_EACH = 12.0, 0.4
+#: How many times likelier than not a candidate must be a secret, the least natural-log likelihood ratio, and what each
+#: symbol needs.
+CERTAIN, MARGIN, MARGIN_EACH = 100.0, 6.0, 0.25
+#: What the ordinary model believes before it has seen tokens weighs as much as so many symbols behind each symbol.
+BELIEF, ROUNDS = 32.0, 3
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -72,7 +82,7 @@ class Automaton:
         self.counts, self.to = counts, to
         self.totals = [sum(c.values()) for c in counts]
 
-    def log_likelihood(self, token: str, symbols: int = 66) -> float:
+    def log_likelihood(self, token: str, symbols: int = len(SYMBOLS)) -> float:
         """Of a token; a symbol never seen in a state gets half a visit, and leads back to the start."""
         state, total = 0, 0.0
         for symbol in (*token, ""):
@@ -147,17 +157,66 @@ def infer(tokens: dict[str, int]) -> Automaton:
                      [{c: number[t] for c, t in to[s].items() if t in number} for s in settled])
 
 
-@lru_cache(maxsize=1)
-def ordinary() -> tuple[float, float, float]:
-    """Log probabilities of a lower-case letter, another letter, and any other symbol in ordinary tokens."""
-    return math.log(0.9 / 26), math.log(0.06 / 26), math.log(0.04 / 14)
+class Ordinary:
+    """Which symbol follows which in ordinary tokens; ``counts`` has (symbol, next symbol, times).
+
+    A token is judged by all others: what it may have added to the counts itself is left out.
+    """
+
+    def __init__(self, counts: list[tuple[int, int, int]] = ()):
+        n = len(SYMBOLS)
+        # Before anything is seen: mostly lower-case letters, few others, an end after ten symbols or so.
+        belief = np.array([0.9 / 26 if c.islower() else 0.06 / 26 if c.isalpha() else 0.04 / 16 for c in SYMBOLS] + [0.1])
+        self.belief = BELIEF * belief / belief.sum()
+        self.table = np.zeros((n + 1, n + 1))
+        for a, b, times in counts:
+            self.table[a, b] += times
+        self.totals = self.table.sum(axis=1)
+
+    def log_likelihood(self, token: str) -> float:
+        n = len(SYMBOLS)
+        at = np.array([n, *map(PLACE.__getitem__, token), n])
+        a, b = at[:-1], at[1:]
+        _, which, own = np.unique(a * (n + 1) + b, return_inverse=True, return_counts=True)
+        seen = np.maximum(self.table[a, b] - own[which], 0) + self.belief[b]
+        of = np.maximum(self.totals[a] - np.bincount(a)[a], 0) + BELIEF
+        return float(np.log(seen / of).sum())
 
 
-def ratio(automaton: Automaton, token: str) -> float:
+PLACE = {c: n for n, c in enumerate(SYMBOLS)}
+BEFORE = Ordinary()
+
+
+def ratio(automaton: Automaton, token: str, ordinary: Ordinary = BEFORE) -> float:
     """How much likelier the automaton makes the token than the ordinary model."""
-    lower, upper, other = ordinary()
-    plain = sum(lower if "a" <= c <= "z" else upper if c.isalpha() else other for c in token) + math.log(0.1)
-    return automaton.log_likelihood(token) - plain
+    return automaton.log_likelihood(token) - ordinary.log_likelihood(token)
+
+
+class Judge:
+    """Tells which candidates are secrets; ``margin`` is the least ratio of any."""
+
+    def __init__(self, automaton: Automaton, ordinary: Ordinary, margin: float):
+        self.automaton, self.ordinary, self.margin = automaton, ordinary, margin
+
+    def __call__(self, token: str) -> bool:
+        return ratio(self.automaton, token, self.ordinary) >= max(self.margin, MARGIN_EACH * len(token))
+
+
+def followers(found: DataFrame, judge: Judge | None) -> list[tuple[int, int, int]]:
+    """How often each symbol follows each in all candidates that ``judge`` does not take for secrets."""
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = len(SYMBOLS) + 1
+        table = np.zeros(n * n, np.int64)
+        for token in batch.column("token").to_pylist():
+            if judge is None or not judge(token):
+                at = np.array([n - 1, *map(PLACE.__getitem__, token), n - 1])
+                np.add.at(table, at[:-1] * n + at[1:], 1)
+        seen = np.flatnonzero(table)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (seen // n, seen % n, table[seen])], ["a", "b", "n"])
+
+    counted = batches.map_batches(found.select(F.explode("tokens.token").alias("token")), count, "a bigint, b bigint, n bigint")
+    # A row for each pair of symbols at most.
+    return [tuple(r) for r in counted.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()]
 
 
 FOUND = ("doc_id bigint, base array<struct<s: bigint, e: bigint, kind: string, credential: string>>, "
@@ -183,11 +242,26 @@ def look(docs: DataFrame) -> DataFrame:
 
 def learn(found: DataFrame, sample: int = SAMPLE) -> Automaton | None:
     """The automaton of a bounded sample of the distinct credentials, those with the smallest hashes."""
-    rows = (found.select(F.explode("base.credential").alias("c")).filter(f"length(c) <= {LONGEST} AND length(c) >= 16")
-            .groupBy("c").agg(F.count("*").alias("n")).orderBy(F.xxhash64("c"), "c").limit(sample).collect())
+    credential = F.regexp_replace("c", r"\.+$", "")
+    rows = (found.select(F.explode("base.credential").alias("c")).select(credential.alias("c"))
+            .filter(F.length("c").between(SHORTEST, LONGEST)).groupBy("c").agg(F.count("*").alias("n"))
+            .orderBy(F.xxhash64("c"), "c").limit(sample).collect())
     return infer({r["c"]: 1 for r in rows}) if rows else None
 
 
+def fitted(found: DataFrame, sample: int = SAMPLE) -> Judge | None:
+    """The judge of a table's candidates; None where there are no credentials to learn from."""
+    automaton = learn(found, sample)
+    if automaton is None:
+        return None
+    many = found.agg(F.sum(F.size("tokens")).alias("tokens"), F.sum(F.size("base")).alias("base")).first()
+    margin = max(MARGIN, math.log((many["tokens"] + 1) / (many["base"] + 1)) + math.log(CERTAIN))
+    ordinary = None
+    for _ in range(ROUNDS):
+        ordinary = Ordinary(followers(found, Judge(automaton, ordinary, 0.0) if ordinary else None))
+    return Judge(automaton, ordinary, margin)
+
+
 def text_of(spans: list[tuple[int, int, str]]) -> str:
     ordered = sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in ordered)
@@ -196,14 +270,13 @@ def text_of(spans: list[tuple[int, int, str]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans). The spans are written once; texts are read once."""
     found = written(look(docs), "spans")
-    automaton = learn(found)
+    judge = fitted(found)
 
     def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for base, tokens in zip(batch.column("base").to_pylist(), batch.column("tokens").to_pylist()):
             base = [(x["s"], x["e"], x["kind"]) for x in base]
-            added = [(t["s"], t["e"], "learned") for t in tokens if automaton is not None
-                     and ratio(automaton, t["token"]) >= max(MARGIN, MARGIN_EACH * len(t["token"]))]
+            added = [(t["s"], t["e"], "learned") for t in tokens if judge is not None and judge(t["token"])]
             n = Counter(kind for *_, kind in base)
             rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(text_of(base).encode()).hexdigest(),
                          text_of(base + added)))
