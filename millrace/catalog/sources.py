@@ -230,12 +230,12 @@ def scan_log_lines(t):
                          child_message.alias("child_message"))
 
 
-@query("sink_config", "SELECT scope, key || '=' || value AS line FROM effective", ("effective",))
+@query("sink_config", r"SELECT scope, key || '=' || replace(value, '#', '\#') AS line FROM effective", ("effective",))
 def sink_config(t):
+    """The lines of the files: a number sign has a backslash before it."""
     path = scratch_path(t.spark, "config")
-    lines = records.config_lines(cfg.effective(t.config, cfg.chains(t.scopes)))
-    lines.write.parquet(path)
-    return t.spark.read.parquet(path)
+    records.write_config(cfg.effective(t.config, cfg.chains(t.scopes)), path)
+    return t.spark.read.schema("value string, scope string").text(path).select("scope", F.col("value").alias("line"))
 
 
 @query("scan_output_props", r"""
@@ -257,3 +257,127 @@ def list_files(t):
     listing = files.list_directory(t.spark, path)
     return listing.select(F.when(F.col("is_dir"), F.col("name")).otherwise(F.substring("name", 1, 4)).alias("name"), "is_dir",
                           numbers.display_bytes("length").isNotNull().alias("sized")).distinct()
+
+
+# Trees of files under names that need care: spaces, percent signs, plus signs, letters beyond ASCII.
+
+def _named(c):
+    return F.concat(F.lit("jöb %41+"), c.cast("string"), F.lit(" ü"))
+
+
+_JOB = "'jöb %41+' || c_custkey || ' ü'"
+
+
+@query("run_history_files", f"""
+    SELECT job, date_trunc('millisecond', started) AS started, CASE WHEN c % 3 <> 0 THEN started + to_seconds(c) END AS ended,
+           c % 3 = 1 AS succeeded, job || '/' || dir || '/' || job || '.' || dir || '.log' AS log
+    FROM (SELECT *, strftime(started, '%m-%d-%Y.%H.%M.%S.%g') AS dir FROM (
+      SELECT c_custkey AS c, {_JOB} AS job, TIMESTAMP '2024-01-01' + to_milliseconds(c_custkey * 1001) AS started FROM customer))""")
+def run_history_files(t):
+    """Run folders in a tree: every third run has no properties yet and is told by its log, folders of other names are
+    no runs."""
+    c = F.col("c_custkey")
+    started = F.timestamp_add("MILLISECOND", c * 1001, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    runs = t.customer.select(c.alias("c"), _named(c).alias("job"), started.alias("started"))
+    folder = F.concat("job", F.lit("/"), F.date_format("started", fixed.RUN_DIR_FORMAT), F.lit("/"))
+
+    def millis(at):
+        return F.unix_millis(at.cast("timestamp")).cast("string")
+
+    props = F.concat(F.lit("#at the end\nstart="), millis(F.col("started")), F.lit("\nend : "),
+                     millis(F.timestamp_add("SECOND", F.col("c"), F.col("started"))), F.lit("\nsucceeded "),
+                     F.when(F.col("c") % 3 == 1, "TRUE").otherwise("false"), F.lit("\n"))
+    root = scratch_path(t.spark, "runs of jobs")
+    files.write_named(runs.select(F.concat(folder, F.lit("run.log")).alias("name"), F.lit("started\n").alias("text")).unionByName(
+        runs.filter("c % 3 <> 0").select(F.concat(folder, F.lit(fixed.RUN_PROPERTIES_FILE)).alias("name"), props.alias("text")))
+        .unionByName(runs.filter("c % 7 = 0").select(F.concat("job", F.lit("/notes/run.log")).alias("name"), F.lit("").alias("text"))),
+        root)
+    return records.read_runs(t.spark, root)
+
+
+@query("job_definition_files", f"""
+    SELECT 'dir:seg ' || c_mktsegment AS scope, 'dir:' AS parent, 'config' AS kind, 'zone' AS key, c_mktsegment || ' +%' AS value,
+           CAST(NULL AS VARCHAR) AS name FROM customer GROUP BY c_mktsegment
+    UNION ALL SELECT 'job:seg ' || c_mktsegment || '/' || {_JOB} || '.job', 'dir:seg ' || c_mktsegment, 'job',
+           unnest(['type', 'dependencies', 'the key']), unnest(['java', 'a,b', ' C:\\é=' || c_custkey]), {_JOB}
+    FROM customer""")
+def job_definition_files(t):
+    c = t.customer
+    folder = F.concat(F.lit("seg "), "c_mktsegment", F.lit("/"))
+    text = F.concat(F.lit("# a job\ntype=java\ndependencies = a,\\\n    b\nthe\\ key : \\ C:\\\\\\u00e9\\="), F.col("c_custkey").cast("string"))
+    segments = c.select("c_mktsegment").distinct()
+    root = scratch_path(t.spark, "jobs + more")
+    files.write_named(
+        c.select(F.concat(folder, _named(F.col("c_custkey")), F.lit(".job")).alias("name"), text.alias("text"))
+        .unionByName(segments.select(F.concat(folder, F.lit("common.properties")).alias("name"),
+                                     F.concat(F.lit("zone="), "c_mktsegment", F.lit(" +%\r\n")).alias("text")))
+        .unionByName(segments.select(F.concat(folder, F.lit("__MACOSX/x.job")).alias("name"), F.lit("type=none").alias("text"))), root)
+    return records.read_job_definitions(t.spark, root)
+
+
+@query("config_files", """
+    SELECT scope, key, value FROM effective
+    UNION ALL SELECT 'é+%20 ' || n_nationkey, unnest(['a key', '=:#!', 'k\\', chr(9)]),
+           unnest([' ' || n_name || ' ', 'C:\\new' || chr(10) || '#é😀', '', chr(13) || '  x']) FROM nation""", ("effective",))
+def config_files(t):
+    """Effective entries, and keys and values full of signs with a meaning, written as properties files and read back."""
+    odd = t.nation.select(F.concat(F.lit("é+%20 "), F.col("n_nationkey").cast("string")).alias("scope"), F.explode(F.map_from_arrays(
+        F.array(*map(F.lit, ("a key", "=:#!", "k\\", "\t"))),
+        F.array(F.concat(F.lit(" "), "n_name", F.lit(" ")), F.lit("C:\\new\n#é😀"), F.lit(""), F.lit("\r  x")))).alias("key", "value"))
+    path = scratch_path(t.spark, "config files")
+    records.write_config(cfg.effective(t.config, cfg.chains(t.scopes)).unionByName(odd), path)
+    return records.read_config(t.spark, path)
+
+
+@query("schedule_files", f"""
+    SELECT name, CASE WHEN secs IS NULL OR start >= now_at THEN start
+             ELSE start + to_seconds(CAST(ceil((epoch(now_at) - epoch(start)) / secs) AS BIGINT) * secs) END AS start,
+           period, true AS ignore_dep, CAST(NULL AS VARCHAR) AS problem
+    FROM timed WHERE period <> 'n' OR start > now_at""", ("timed",))
+def schedule_files(t):
+    root = scratch_path(t.spark, "schedule of jobs")
+    entry = F.concat("name", F.lit(" = "), F.date_format("start", fixed.SCHEDULE_FORMAT), F.lit(" \\\n    "), "period", F.lit(" TRUE\n"))
+    files.write_named(t.schedules.select(F.concat("period", F.lit(" é/"), "name", F.lit(".schedule")).alias("name"),
+                                         entry.alias("text")), root)
+    return records.read_schedules(t.spark, root, t.now)
+
+
+@query("log_files", """
+    SELECT 'job' || user_id AS logger, date_trunc('second', ts) AS ts, 'INFO' AS level, event_type || ' ' || event_id AS message
+    FROM events UNION ALL SELECT NULL, NULL, NULL, NULL FROM events WHERE event_id % 10 = 0""")
+def log_files(t):
+    """Log files of jobs; lines of another layout have no parts."""
+    line = F.concat(F.date_format("ts", fixed.LOG_TIME_FORMAT), F.lit(" job"), F.col("user_id").cast("string"), F.lit(" INFO - "),
+                    "event_type", F.lit(" "), F.col("event_id").cast("string"))
+    both = F.array_compact(F.array(line, F.when(F.col("event_id") % 10 == 0, F.lit("  at some place"))))
+    root = scratch_path(t.spark, "logs")
+    t.events.select(F.col("event_id") % 20, F.explode(both).alias("value")).select("value").write.option("compression", "none").text(root)
+    return records.read_logs(t.spark, root, "*.txt").select("logger", "ts", "level", "message")
+
+
+@query("output_files", f"""
+    SELECT {_JOB} AS job, unnest(['n', 'who']) AS key, unnest([CAST(c_custkey AS VARCHAR), c_name]) AS value FROM customer
+    WHERE c_custkey % 4 <> 0""")
+def output_files(t):
+    """A document of its own for each job; some are empty or are none."""
+    c = F.col("c_custkey")
+    text = F.when(c % 8 == 0, "").when(c % 4 == 0, "{oops").otherwise(F.to_json(F.struct(c.alias("n"), F.col("c_name").alias("who"))))
+    root = scratch_path(t.spark, "outputs")
+    files.write_named(t.customer.select(F.concat(_named(c), F.lit(".json")).alias("name"), text.alias("text")), root)
+    return records.read_outputs(t.spark, root)
+
+
+@query("list_folders", """
+    SELECT 'n ' || n_nationkey || '%/' AS name, true AS is_dir, CAST(NULL AS BIGINT) AS length FROM nation
+    UNION ALL SELECT 'top é.txt', false, count(*) FROM nation""")
+def list_folders(t):
+    """One folder with folders in it, the empty ones too, and a file."""
+    root = scratch_path(t.spark, "folders")
+    folder = F.concat(F.lit("n "), F.col("n_nationkey").cast("string"), F.lit("%/"))
+    files.write_named(t.nation.select(F.concat(folder, F.lit("deep/er.txt")).alias("name"), F.lit("x").alias("text")).unionByName(
+        t.nation.agg(F.lit("top é.txt").alias("name"), F.repeat(F.lit("x"), F.count("*").cast("int")).alias("text"))), root)
+    fs, path = files.file_system(t.spark, root)
+    for status in list(fs.listStatus(path))[:3]:  # some folders lose what was in them
+        if status.isDirectory():
+            fs.delete(t.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "deep"), True)
+    return files.list_directory(t.spark, root)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 from millrace import fixed_values as fixed
 from millrace.operators import blocks, ordering
 from millrace.operators.rows import check_schema
+from millrace.session import few_listing_tasks, written
 
 
 def _given(path: str | None, what: str) -> str:
@@ -152,7 +155,7 @@ def read_as_json(spark: SparkSession, path: str, format: str = "avro") -> DataFr
 
 def _in_file_order(scan: DataFrame, line: Column) -> DataFrame:
     # A task may read splits of one file in any order, so the place of a row is (start of split, row in task).
-    return scan.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"),
+    return scan.select(plain_path(F.col("_metadata.file_path")).alias("source"), F.col("_metadata.file_block_start").alias("block"),
                        F.monotonically_increasing_id().alias("pos"), line.alias("line"))
 
 
@@ -188,21 +191,81 @@ def _first_kind(spark: SparkSession, path: str) -> str:
 # listings --------------------------------------------------------------------------------------------
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, modified) of all files under a path; contents are not read."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-            .select("path", "length", F.col("modificationTime").alias("modified")))
-
-
-def list_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(name, is_dir, length) of the direct children of a directory, put together from the listing of its files; a
-    directory has a slash and no length. Hidden files (``_`` and ``.``) and directories without files are not shown."""
-    root = path.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
-    below = F.substr("path", F.instr("path", F.lit(root)) + len(root))
-    is_dir = F.instr(below, "/") > 0
-    name = F.when(is_dir, F.concat(F.substring_index(below, "/", 1), F.lit("/"))).otherwise(below)
-    return (list_files(spark, path).select(name.alias("name"), is_dir.alias("is_dir"), "length")
-            .groupBy("name", "is_dir").agg(F.max("length").alias("_length"))
-            .select("name", "is_dir", F.when(~F.col("is_dir"), F.col("_length")).alias("length")))
+    """(path, length, modified) of all files under a path; contents are not read, and filters on the path leave files
+    out before they are looked at."""
+    with few_listing_tasks(spark):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_size").alias("length"),
+                        F.col("_metadata.file_modification_time").alias("modified"))
+
+
+def list_directory(spark: SparkSession, path: str, hidden: bool = False, page: int = 100_000) -> DataFrame:
+    """(name, is_dir, length) of the direct children of a directory; a directory has a slash and no length.
+
+    The file system lists the one directory, page by page, so what lies below costs nothing and folders without files
+    are shown. Beyond ``page`` entries each page is written out, so the driver holds one at a time. Names that begin with
+    ``_`` or ``.`` are left out unless ``hidden`` is set.
+    """
+    fs, hadoop_path = file_system(spark, path)
+    schema = "name string, is_dir boolean, length bigint"
+    found, entries, pages = fs.listStatusIterator(hadoop_path), [], []
+    while found.hasNext():
+        status = found.next()
+        name = status.getPath().getName()
+        if hidden or not name.startswith(("_", ".")):
+            entries.append((name + "/", True, None) if status.isDirectory() else (name, False, status.getLen()))
+        if len(entries) == page:
+            pages.append(written(spark.createDataFrame(entries, schema), "listing"))
+            entries = []
+    out = spark.createDataFrame(entries, schema)
+    for full in pages:
+        out = out.unionByName(full)
+    return out
+
+
+def plain_path(c: Column) -> Column:
+    """A path as it is, out of one that is escaped as in an URL (Spark gives those of ``_metadata`` so)."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
+def root_of(spark: SparkSession, path: str) -> str:
+    """What the plain paths below a folder begin with, behind scheme and host; ends in a slash."""
+    fs, hadoop_path = file_system(spark, path)
+    return fs.makeQualified(hadoop_path).toUri().getPath().rstrip("/") + "/"
+
+
+def below(path: Column, root: str) -> Column:
+    """The part of a plain path below a root."""
+    return F.substr(path, F.instr(path, F.lit(root)) + F.lit(len(root)))
+
+
+# named files -----------------------------------------------------------------------------------------
+
+def write_named(files: DataFrame, root: str, name: str = "name", text: str = "text") -> int:
+    """Write each row's text to the file ``<root>/<name>``, folders made as needed; returns how many there are.
+
+    Tasks write through Arrow's file systems, each file under another name first, so that a task that is run again
+    leaves whole files only. For many small files of given names; tables are better written by Spark.
+    """
+    spark = files.sparkSession
+    fs, hadoop_path = file_system(spark, root)
+    uri = fs.makeQualified(hadoop_path).toUri()
+    host, base = f"{uri.getScheme()}://{uri.getHost() or ''}", uri.getPath().rstrip("/")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+        store, _ = FileSystem.from_uri(host + "/")
+        for batch in batches:
+            for own, content in zip(*(c.to_pylist() for c in batch.columns)):
+                target = f"{base}/{own}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                begun = f"{target}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(begun) as out:
+                    out.write((content or "").encode())
+                store.move(begun, target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select(name, text).mapInArrow(put, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 # staged writes ---------------------------------------------------------------------------------------

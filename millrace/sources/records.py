@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from millrace import fixed_values as fixed
 from millrace.functions import json_text, times
 from millrace.operators.rows import level_and_message
+from millrace.session import few_listing_tasks
+from millrace.sources import files
 
 # Shape of an execution document.
 FLOW_SCHEMA = """
@@ -22,6 +24,10 @@ parentProps map<string,string>
 """
 
 
+# Letters that stand for a character behind a backslash.
+ESCAPED = (("t", "\t"), ("n", "\n"), ("r", "\r"), ("f", "\f"))
+
+
 def _left_trimmed(line: str) -> Column:
     return F.regexp_replace(line, r"^[ \t\f]+", "")
 
@@ -47,14 +53,32 @@ def logical_lines(lines: DataFrame, path: str = "path", pos: str = "pos", line:
 def unescaped(c: Column) -> Column:
     """A key or value without its escapes: unicode, tab, newline, return, form feed, and any other character."""
     kept = F.replace(c, F.lit("\\\\"), F.lit("\x01"))  # an escaped backslash escapes nothing itself
-    codes = F.array_distinct(F.regexp_extract_all(kept, F.lit(r"\\u([0-9a-fA-F]{4})"), F.lit(1)))
-    kept = F.aggregate(codes, kept, lambda text, code: F.replace(
-        text, F.concat(F.lit("\\u"), code), F.decode(F.unhex(code), "UTF-16BE")))
-    for sign, meant in (("t", "\t"), ("n", "\n"), ("r", "\r"), ("f", "\f")):
+    # Characters beyond the basic plane are two codes that only make sense together.
+    for pattern in (r"(\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})", r"(\\u[0-9a-fA-F]{4})"):
+        codes = F.array_distinct(F.regexp_extract_all(kept, F.lit(pattern), F.lit(1)))
+        kept = F.aggregate(codes, kept, lambda text, code: F.replace(text, code, F.decode(
+            F.unhex(F.replace(code, F.lit("\\u"), F.lit(""))), "UTF-16BE")))
+    for sign, meant in ESCAPED:
         kept = F.replace(kept, F.lit("\\" + sign), F.lit(meant))
     return F.replace(F.regexp_replace(kept, r"\\(.)", "$1"), F.lit("\x01"), F.lit("\\"))
 
 
+def escaped(c: Column, key: bool) -> Column:
+    """The inverse of ``unescaped``: signs with a meaning behind a backslash, what is not plain ASCII by its code. All
+    spaces of a key are escaped, of a value the first if the value begins with it."""
+    def sign(x: Column) -> Column:
+        plain = F.when(x.isin("\\", "=", ":", "#", "!"), F.concat(F.lit("\\"), x))
+        for letter, meant in ESCAPED:
+            plain = plain.when(x == meant, F.lit("\\" + letter))
+        if key:
+            plain = plain.when(x == " ", F.lit("\\ "))
+        code = F.regexp_replace(F.hex(F.encode(x, "UTF-16BE")), "(.{4})", r"\\u$1")
+        return plain.when(x.rlike("^[ -~]$"), x).otherwise(code)
+
+    text = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1)), sign), "")
+    return text if key else F.when(F.startswith(text, F.lit(" ")), F.concat(F.lit("\\"), text)).otherwise(text)
+
+
 def property_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add ``key`` and ``value`` of ``key=value``, ``key: value`` or ``key value`` lines, without escapes; comments and
     blank lines drop out. Lines that go on in the next one have to be joined first (``logical_lines``)."""
@@ -75,23 +99,37 @@ def from_millis(c: Column) -> Column:
     return F.timestamp_millis(c.try_cast("bigint")).cast("timestamp_ntz")
 
 
+def property_file_lines(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """(path, pos, line) of all files below a path whose names fit a pattern; ``pos`` is the order of a file's lines."""
+    with few_listing_tasks(spark):
+        scan = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(path)
+    return scan.select(files.plain_path(F.col("_metadata.file_path")).alias("path"), *_places())
+
+
+def _places() -> tuple[Column, Column]:
+    """``pos``, the order of a file's lines, and ``line``."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return place.alias("pos"), F.col("value").alias("line")
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """(job, started, ended, succeeded, log) from the run directories ``<path>/<job>/<time>/``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", fixed.RUN_PROPERTIES_FILE)
-             .text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")))
-    return runs_of_files(files, lines)
+    """(job, started, ended, succeeded, log) from the run directories ``<path>/<job>/<time>/``.
+
+    A filter on ``job`` reaches the scans, which then open the files of that job only.
+    """
+    found = files.list_files(spark, path).select("path")
+    return runs_of_files(found, property_file_lines(spark, path, fixed.RUN_PROPERTIES_FILE).select("path", "line"))
 
 
-def runs_of_files(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """The same out of a listing ``files(path)`` and the ``lines(path, line)`` of the properties files.
+def runs_of_files(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """The same out of a listing ``found(path)`` and the ``lines(path, line)`` of the properties files.
 
     Hidden and unparsable directories are skipped. A run without its properties file has started at the time
     in its directory's name, has no end and no success; it is found by its other files, such as its log.
     """
     parts = F.split("path", "/")
     job, folder = F.element_at(parts, -3).alias("job"), F.element_at(parts, -2).alias("dir")
-    runs = (files.select(job, folder).distinct().withColumn("dir_time", run_directory_time("dir"))
+    runs = (found.select(job, folder).distinct().withColumn("dir_time", run_directory_time("dir"))
             .filter(F.col("dir_time").isNotNull()))
 
     def entry(name: str) -> Column:
@@ -123,10 +161,7 @@ def read_flows(spark: SparkSession, path: str, one_per_file: bool = True) -> Dat
 
 def read_job_definitions(spark: SparkSession, path: str) -> DataFrame:
     """(scope, parent, kind, key, value, name) from a tree of job and config files."""
-    lines = (spark.read.option("recursiveFileLookup", "true").text(path)
-             .select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("pos"),
-                     F.col("value").alias("line")))
-    return definitions_of_lines(lines, path)
+    return definitions_of_lines(property_file_lines(spark, path), files.root_of(spark, path))
 
 
 def definitions_of_lines(lines: DataFrame, root_path: str) -> DataFrame:
@@ -135,8 +170,7 @@ def definitions_of_lines(lines: DataFrame, root_path: str) -> DataFrame:
     A directory is a scope under the directory above; a job is a scope under its directory. Files under
     excluded or hidden names are left out. In one directory, config files later in name order win.
     """
-    root = root_path.rstrip("/").split("://")[-1] + "/"
-    relative = F.substr("path", F.instr("path", F.lit(root)) + len(root))
+    relative = files.below(F.col("path"), root_path.rstrip("/").split("://")[-1] + "/")
     parts = F.split(relative, "/")
     name = F.element_at(parts, -1)
     folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
@@ -202,8 +236,45 @@ def parse_child_lines(lines: DataFrame, line: str = "line", default: str = "INFO
 
 
 def config_lines(entries: DataFrame) -> DataFrame:
-    """(scope, line): effective entries as ``key=value`` lines; local entries give a local file."""
-    return entries.select("scope", F.concat_ws("=", "key", F.coalesce("value", F.lit(""))).alias("line"))
+    """(scope, key, line): entries as lines ``key=value`` of a properties file, with escapes. Effective entries give a
+    flattened file, local entries a local one."""
+    return entries.select("scope", "key", F.concat(escaped(F.col("key"), True), F.lit("="), escaped(
+        F.coalesce("value", F.lit("")), False)).alias("line"))
+
+
+def write_config(entries: DataFrame, path: str, mode: str = "error") -> None:
+    """One properties file for each scope, its entries in the order of their keys, in a folder ``scope=<name>``."""
+    (config_lines(entries).repartition("scope").sortWithinPartitions("scope", "key").select("scope", "line")
+     .write.mode(mode).partitionBy("scope").text(path))
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """(scope, key, value) of such files; of lines with one key the last counts."""
+    with few_listing_tasks(spark):
+        scan = spark.read.schema("value string, scope string").text(path)
+    lines = scan.select(F.col("_metadata.file_path").alias("path"), "scope", *_places())
+    scopes = lines.select("path", "scope").distinct()
+    entries = property_lines(logical_lines(lines.select("path", "pos", "line"))).groupBy("path", "key").agg(
+        F.max_by("value", "pos").alias("value"))
+    return entries.join(scopes, "path").select("scope", "key", "value")
+
+
+def read_schedules(spark: SparkSession, path: str, now: Column) -> DataFrame:
+    """(name, start, period, ignore_dep, problem) of the entries of schedule files."""
+    return parse_schedules(property_lines(logical_lines(property_file_lines(spark, path))), now)
+
+
+def read_logs(spark: SparkSession, path: str, names: str = "*.log") -> DataFrame:
+    """(path, pos, line, ts, logger, level, message) of all lines of the log files below a path."""
+    return parse_log_lines(property_file_lines(spark, path, names))
+
+
+def read_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """(job, key, value) of the output files below a path: a document a file, named after its job."""
+    with few_listing_tasks(spark):
+        scan = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    name = F.element_at(F.split(files.plain_path(F.col("_metadata.file_path")), "/"), -1)
+    return output_entries(scan.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("job"), F.col("value").alias("document")))
 
 
 def output_entries(documents: DataFrame, job: str = "job", document: str = "document") -> DataFrame:

@@ -1,6 +1,8 @@
 """Files on disk, and streams over them."""
 
 import os
+import pathlib
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +229,113 @@ def test_updates_are_compacted_to_a_row_per_key(spark, tmp_path, rows):
     assert stored.count() == 6 and stored.filter("job = 'a'").first().runs == 5
     assert rows(state.read_updates(spark, target, ["job"], stats.schema)) == [
         ("a", 5, 5), *[(f"b{n}", 1, 0) for n in range(5)]]
+
+
+ODD_NAMES = ["my job", "a%20b", "é+ü #1", "plain", "😀 x", "50%"]
+
+
+@pytest.fixture
+def run_tree(spark, tmp_path):
+    root = str(tmp_path / "runs of + jobs %41")
+    done = "start=1704164645006\nend : 1704164999000\nsucceeded true\n"
+    rows = [(f"{n}/01-02-2024.03.04.05.006/run.properties", done) for n in ODD_NAMES]
+    rows += [(f"{n}/{d}/x.log", "hi") for n in ODD_NAMES for d in ("01-02-2024.03.04.05.006", "02-02-2024.03.04.05.006", "notes")]
+    assert files.write_named(spark.createDataFrame(rows, "name string, text string"), root) == len(rows)
+    return root
+
+
+def test_runs_of_jobs_with_odd_names(spark, run_tree):
+    got = {(r.job, str(r.started)): (str(r.ended), r.succeeded, r.log) for r in records.read_runs(spark, run_tree).collect()}
+    assert got == {**{(n, "2024-01-02 03:04:05.006000"): ("2024-01-02 03:09:59", True,
+                                                          f"{n}/01-02-2024.03.04.05.006/{n}.01-02-2024.03.04.05.006.log") for n in ODD_NAMES},
+                   **{(n, "2024-02-02 03:04:05.006000"): ("None", False,
+                                                          f"{n}/02-02-2024.03.04.05.006/{n}.02-02-2024.03.04.05.006.log") for n in ODD_NAMES}}
+
+
+def test_a_filter_on_a_job_opens_its_files_only(spark, run_tree):
+    runs = records.read_runs(spark, run_tree)
+    for name in ODD_NAMES[1:]:
+        shutil.rmtree(f"{run_tree}/{name}")  # opening one of these files would fail from here on
+    assert [r.succeeded for r in runs.filter("job = 'my job'").orderBy("started").collect()] == [True, False]
+
+
+def test_job_definitions_with_odd_names(spark, tmp_path):
+    root = str(tmp_path / "jobs + %20")
+    text = [("s dir/a b/my first+.job", "type=java\\\n  script\n"), ("s dir/one.properties", "k=1\nk=2"), ("s dir/two.properties", "k=3"),
+            ("top%41.job", "k=x"), ("__MACOSX/a.job", "k=y"), ("s dir/.hidden.job", "k=z"), ("s dir/readme.txt", "k=r")]
+    files.write_named(spark.createDataFrame(text, "name string, text string"), root)
+    got = sorted(map(tuple, records.read_job_definitions(spark, root + "/").collect()))
+    assert got == [("dir:s dir", "dir:", "config", "k", "3", None),
+                   ("job:s dir/a b/my first+.job", "dir:s dir/a b", "job", "type", "javascript", "my first+"),
+                   ("job:top%41.job", "dir:", "job", "k", "x", "top%41")]
+
+
+def test_files_of_several_splits_keep_their_lines_in_order(spark, tmp_path):
+    lines = "".join(f"k{n} = a,\\\n   b{n}\n" for n in range(400))
+    files.write_named(spark.createDataFrame([("x/big.job", lines)], "name string, text string"), str(tmp_path))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "512")
+    try:
+        got = {r.key: r.value for r in records.read_job_definitions(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {f"k{n}": f"a,b{n}" for n in range(400)}
+
+
+ODD_ENTRIES = [("a b/c%", "a key", "  v w "), ("a b/c%", "=x:#!", 'C:\\new\tz\n"é😀\\u0041'), ("007", "k\\", "#e"),
+               ("s+é", "ключ", ""), ("s+é", "n", None), ("s+é", "\t\r\n\f", "\\"), ("s+é", "x", " "), ("s+é", "trail", "y \\ ")]
+
+
+def test_config_files_are_read_back(spark, tmp_path):
+    path = str(tmp_path / "config out")
+    records.write_config(spark.createDataFrame(ODD_ENTRIES, "scope string, key string, value string"), path)
+    got = sorted(map(tuple, records.read_config(spark, path).collect()))
+    assert got == sorted((s, k, v or "") for s, k, v in ODD_ENTRIES)
+    written = [f for f in pathlib.Path(path).rglob("*.txt")]
+    assert len(written) == 3 and all(f.read_bytes().isascii() for f in written)
+
+
+@pytest.mark.skipif(shutil.which("java") is None, reason="the library of the language is asked through Spark's own")
+def test_config_lines_are_those_of_the_standard_library(spark):
+    """java.util.Properties reads the lines, and writes the same ones."""
+    jvm = spark.sparkContext._jvm
+    entries = [(k, v or "") for _, k, v in ODD_ENTRIES]
+    df = spark.createDataFrame([("s", k, v) for k, v in entries], "scope string, key string, value string")
+    lines = {r.key: r.line for r in records.config_lines(df).collect()}
+    props = jvm.java.util.Properties()
+    props.load(jvm.java.io.StringReader("\n".join(lines.values())))
+    assert {k: props.getProperty(k) for k, _ in entries} == dict(entries)
+    for key, value in entries:
+        one = jvm.java.util.Properties()
+        one.setProperty(key, value)
+        out = jvm.java.io.ByteArrayOutputStream()
+        one.store(out, None)
+        assert lines[key] in out.toString().split("\n")[1:], key
+
+
+def test_schedule_log_and_output_files(spark, tmp_path):
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    text = [("a b/s.schedule", "x\\ y = 2025-01-01.00.00.00.000 \\\n  1d true\n#z\nbad = 1 2\n")]
+    files.write_named(spark.createDataFrame(text, "name string, text string"), str(tmp_path / "schedules"))
+    found = records.read_schedules(spark, str(tmp_path / "schedules"), now).collect()
+    assert [(r.name, r.period, r.ignore_dep, r.problem) for r in found] == [("x y", "1d", True, None)]
+    text = [("j é/r.log", "02-01-2024 03:04:05 job7 WARN - a - b\n  more\n"), ("j é/r.txt", "no log")]
+    files.write_named(spark.createDataFrame(text, "name string, text string"), str(tmp_path / "logs"))
+    found = records.read_logs(spark, str(tmp_path / "logs")).orderBy("path", "pos").collect()
+    assert [(r.path.split("/")[-2], r.line, r.message) for r in found] == [("j é", "02-01-2024 03:04:05 job7 WARN - a - b", "a - b"), ("j é", "  more", None)]
+    text = [("a+b.json", '{"k": 1,\n "l": "x"}'), ("none.json", ""), ("bad %.json", "{")]
+    files.write_named(spark.createDataFrame(text, "name string, text string"), str(tmp_path / "outputs"))
+    assert sorted(map(tuple, records.read_outputs(spark, str(tmp_path / "outputs")).collect())) == [("a+b", "k", "1"), ("a+b", "l", "x")]
+
+
+def test_listing_of_one_directory(spark, tmp_path):
+    (tmp_path / "empty é").mkdir()
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / "x").write_text("1")
+    (tmp_path / "f 1%").write_text("123")
+    (tmp_path / "_hidden").write_text("1")
+    wanted = [("deep/", True, None), ("empty é/", True, None), ("f 1%", False, 3)]
+    for page in (100, 2, 1):
+        assert sorted(map(tuple, files.list_directory(spark, str(tmp_path), page=page).collect())) == wanted
+    assert files.list_directory(spark, str(tmp_path), hidden=True).count() == 4
