@@ -58,6 +58,19 @@ def detect_cycles(t):
     return graph.cycles(t.nodes, t.looped_edges)
 
 
+@query("cycle_members", """
+    WITH paths(a, b) AS (SELECT job, dep FROM looped UNION SELECT a, dep FROM paths JOIN looped ON looped.job = paths.b),
+    mutual AS (SELECT p.a AS job, min(p.b) AS cycle FROM paths p JOIN paths q ON q.a = p.b AND q.b = p.a AND p.a <> p.b GROUP BY p.a),
+    looping AS (SELECT DISTINCT a AS job FROM paths WHERE a = b),
+    stuck AS (SELECT job FROM looping UNION SELECT a FROM paths WHERE b IN (SELECT job FROM looping))
+    SELECT s.job, CASE WHEN m.job IS NOT NULL THEN least(m.cycle, s.job) WHEN l.job IS NOT NULL THEN s.job END AS cycle,
+           CASE WHEN m.job IS NOT NULL THEN 'member' WHEN l.job IS NOT NULL THEN 'self' ELSE 'above' END AS problem
+    FROM stuck s LEFT JOIN mutual m ON m.job = s.job LEFT JOIN (SELECT DISTINCT job FROM looped WHERE job = dep) l ON l.job = s.job""",
+       ("looped",))
+def cycle_members(t):
+    return graph.cycle_members(t.nodes, t.looped_edges)
+
+
 @query("dep_pairs", "SELECT dep AS dependency, job AS dependent FROM edges", ("edges",))
 def dep_pairs(t):
     return graph.pairs(t.edges, t.nodes)

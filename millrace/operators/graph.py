@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.config_values import as_list
-from millrace.session import written
+from millrace.operators import paths
+from millrace.session import written, written_counting
 
 
 def dependency_edges(jobs: DataFrame, job: str = "id", dependencies: str = "dependencies") -> DataFrame:
@@ -47,47 +48,39 @@ def pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def closure(seeds: DataFrame, edges: DataFrame, tags: tuple[str, ...] = (), only: Column | None = None) -> DataFrame:
     """Everything the seeds need, themselves included, each once per tag.
 
-    ``seeds`` has the column job and the tag columns; every tag keeps its own reached set. Works on cyclic
-    graphs. ``only`` is a condition on the edges to follow.
+    ``seeds`` has the column job and the tag columns; every tag keeps its own reached set. Works on cyclic graphs.
+    ``only`` is a condition on the edges to follow. Tags are numbered, and a row holds which of 64 neighbouring tags have
+    reached a job as bits, so sets that have much in common travel together.
     """
-    keys = [*tags, "job"]
     edges = edges if only is None else edges.filter(only)
-    steps = edges.select(F.col("job").alias("_at"), F.col("dep").alias("_next"))
-    fresh = written(seeds.select(*keys).distinct(), "seeds")
-    reached = fresh
-    while not fresh.isEmpty():
-        moved = (fresh.join(steps, fresh["job"] == steps["_at"])
-                 .select(*tags, F.col("_next").alias("job")).distinct())
-        fresh = written(moved.join(reached, keys, "left_anti"), "reached")
-        reached = reached.unionByName(fresh)
-    return reached
-
-
-def _peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Levels of the nodes that can be peeled off, and the edges that stay because of a cycle.
-
-    A node is peeled once all it needs has been; its level is the length of the longest path below it. Each
-    round marks the edges to what was peeled last, in one join and one write, and drops them from the next
-    round, so rounds get smaller.
-    """
-    left = written(edges.select("job", "dep").distinct(), "edges")
-    layer = written(nodes.select("job").distinct().join(left, "job", "left_anti"), "level")
-    layers = [layer.withColumn("level", F.lit(0))]
-    while True:
-        peeled = layer.select(F.col("job").alias("dep"), F.lit(True).alias("_peeled"))
-        marked = written(left.join(peeled, "dep", "left")
-                         .select("job", "dep", F.coalesce("_peeled", F.lit(False)).alias("_done")), "edges")
-        left = marked.filter("NOT _done").select("job", "dep")
-        if marked.filter("_done").isEmpty():
-            return reduce(DataFrame.unionByName, layers), left
-        # Edges that were done in earlier rounds are gone, so what counts is that those still here are.
-        layer = written(marked.groupBy("job").agg(F.bool_and("_done").alias("_all")).filter("_all").select("job"), "level")
-        layers.append(layer.withColumn("level", F.lit(len(layers))))
+    steps = written(edges.select("job", "dep").distinct(), "steps")
+    if tags:
+        numbers = written(seeds.select(*tags).distinct().withColumn("id", F.monotonically_increasing_id()), "tags")
+        same = reduce(lambda a, b: a & b, [seeds[c].eqNullSafe(numbers[c]) for c in tags])
+        started = seeds.join(numbers, same).select("job", "id")
+    else:
+        started = seeds.select("job", F.lit(0).cast("bigint").alias("id"))
+    first = started.select("job", F.shiftright("id", 6).alias("word"), F.expr("shiftleft(1L, CAST(id & 63 AS INT))").alias("bit"))
+    state, seen = written_counting(
+        first.groupBy("job", "word").agg(F.bit_or("bit").alias("bits")).withColumn("new", F.col("bits")), "reached", rows=F.count("*"))
+    while seen["rows"]:
+        told = (state.filter("new <> 0").select("job", "word", "new").join(steps, "job")
+                .groupBy(F.col("dep").alias("job"), "word").agg(F.bit_or("new").alias("got")))
+        had, got = (F.coalesce(c, F.lit(0).cast("bigint")) for c in ("bits", "got"))
+        state, seen = written_counting(
+            state.select("job", "word", "bits").join(told, ["job", "word"], "full").select(
+                "job", "word", had.bitwiseOR(got).alias("bits"), got.bitwiseAND(F.bitwise_not(had)).alias("new")),
+            "reached", rows=F.count_if(F.col("new") != 0))
+    if not tags:
+        return state.select("job")
+    single = state.select("job", F.expr("explode(filter(sequence(0, 63), i -> shiftright(bits, i) & 1L = 1L))").alias("i"), "word")
+    return (single.select("job", (F.shiftleft("word", 6) + F.col("i")).alias("id")).join(numbers, "id")
+            .select(*[c for c in tags if c != "job"], "job"))
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(job, level): longest path from a job that needs nothing. Jobs on or above a cycle have none."""
-    return _peel(nodes, edges)[0]
+    return paths.levels(nodes, edges)[0]
 
 
 def levels_from_sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -97,12 +90,23 @@ def levels_from_sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(job, problem): ``self`` for a job that needs itself, else ``cycle`` for one on or above a cycle."""
-    stuck = _peel(nodes, edges)[1]
+    stuck = paths.levels(nodes, edges)[1]
     selfish = edges.filter("job = dep").select("job").distinct().withColumn("_self", F.lit(True))
-    return (stuck.select("job").distinct().join(selfish, "job", "left")
+    return (stuck.join(selfish, "job", "left")
             .select("job", F.when(F.col("_self"), F.lit("self")).otherwise(F.lit("cycle")).alias("problem")))
 
 
+def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(job, cycle, problem) of all jobs that can't run: ``member`` for one on a cycle of several jobs, named after its
+    smallest job; ``self`` for one that only needs itself; ``above`` for one that needs any of these and is on no cycle,
+    which then has no name. Cycles that share no job are told apart, whatever edges lead from one to another."""
+    members = written(paths.strong_components(nodes, edges), "members")
+    selfish = edges.filter("job = dep").select("job").distinct().withColumn("_self", F.lit(True))
+    return (cycles(nodes, edges).select("job").join(members, "job", "left").join(selfish, "job", "left").select(
+        "job", F.coalesce("cycle", F.when(F.col("_self"), F.col("job"))).alias("cycle"),
+        F.when(F.col("cycle").isNotNull(), "member").when(F.col("_self"), "self").otherwise("above").alias("problem")))
+
+
 def tree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The dependency trees of all roots: (job, is_root, json), one row per job that a root reaches.
 

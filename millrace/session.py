@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -73,12 +73,19 @@ def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
+def written(df: DataFrame, name: str = "step", path: str | None = None) -> DataFrame:
     """Write a step out and read it back: cuts the lineage and survives lost executors.
 
     The files also carry row counts and sizes, so the next join is planned on what is really there.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_counting(df: DataFrame, name: str, path: str | None = None, **metrics: Column) -> tuple[DataFrame, dict]:
+    """The same, with aggregates over the rows, taken while these are written."""
+    seen = Observation()
+    out = written(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name, path)
+    return out, seen.get
