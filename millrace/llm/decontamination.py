@@ -1,17 +1,23 @@
 """Documents that hold passages of a benchmark, found by spaced seeds.
 
-A seed is a mask over ``SPAN`` words: it hashes the words at its places and ignores the others, so a passage with
-words exchanged at ignored places still hits. A window's places fall into four phases and each mask looks at two of
-them, so any two exchanged words of a window leave one mask whole. Hashes of benchmark windows go into a Bloom filter
-of bounded size; a document's windows that it knows are joined with the benchmark's hashes, and each hit's diagonal
-(document place less benchmark place) is verified word by word: of all its stretches in which no more than one word
-for each ``LOSS`` equal ones differs, the one with most equal words counts.
-A document is contaminated by an item if ``least`` words, or all words of a shorter item, are equal in that stretch.
-
-Words are runs of letters and digits (others separate them), in lower case. Items of fewer words than a window are
-found by a window of their own size in each length there is, without ignored places. Items without words find
-nothing. Null texts have no words. Equal items are compared once; the smallest item_id stands for them, null ids
-behind others. Rows of documents are told apart by their place; equal or null ids are no matter.
+A document is contaminated by an item if, with the two laid beside each other at some place, there is a stretch that
+has at least ``least`` equal words, or four in five of a shorter item's, and at least four in five equal.
+
+A seed is a mask over a window of words: it hashes the words at its places and ignores the others, so a passage with
+words exchanged at ignored places still hits. The masks for items of ``SPAN`` words or more are such that every stretch
+as above has a window where one of them is whole, whichever words are exchanged: the first six survive any two exchanged
+words in a window of twelve, the others what is left where exchanged words stand closer. Shorter items have masks as
+long as they are, of all places but those that one or two exchanged words may stand at; items of four words or fewer
+allow none. Hashes of benchmark windows go into a Bloom filter of bounded size; a document's windows that it knows are
+joined with the benchmark's hashes, and each hit's diagonal (document place less benchmark place) is verified word by
+word: of all its stretches in which no more than one word for each ``LOSS`` equal ones differs, the one with most equal
+words counts.
+
+Words are runs of letters and digits (others separate them), in lower case. Items without words find nothing. Null and
+empty texts have no words; very long texts are looked through in whole. Equal items are compared once; the smallest
+item_id stands for them, null ids behind others. Rows of documents are told apart by their place; equal or null ids are
+no matter. Other columns are carried along by ``clean`` and can have any names. An empty table of documents gives an
+empty result, an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -22,15 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import batches, words
+from millrace.llm.content import HASHES, KEY, text_hashes, without
 from millrace.session import written
 
-#: Words of a window, and the places that each mask looks at.
-SPAN = 12
-PHASES = tuple(tuple(range(n, SPAN, 4)) for n in range(4))
-MASKS = tuple(tuple(sorted(a + b)) for n, a in enumerate(PHASES) for b in PHASES[:n])
 #: Equal words that make a passage, and how many of them an unequal one needs: at least four in five words are equal.
 LEAST = 13
 LOSS = 4
+#: Words of the longest window.
+SPAN = 12
+PHASES = tuple(tuple(range(n, SPAN, 4)) for n in range(4))
+#: The places that each mask looks at; a mask's window ends with its last place.
+MASKS = (*(tuple(sorted(a + b)) for n, a in enumerate(PHASES) for b in PHASES[:n]), (0, 1, 2, 7, 9, 10), (0, 1, 3, 4, 5, 6))
 #: Bits of the filter for each benchmark hash, as powers of two, within bounds (2^28 bits: 32 MB).
 LEAST_BITS, MOST_BITS = 20, 28
 FOUND = "row bigint, doc_id bigint, item_id bigint, n_words bigint, n_equal bigint, first_word bigint, last_word bigint"
@@ -43,19 +51,20 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", APART))
 
 
-def seeds(hashes: np.ndarray, offsets: np.ndarray, masks: list[tuple[int, ...]], span: int
-          ) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each mask: the hashes of all windows that lie within one text, and where they begin."""
+def seeds(hashes: np.ndarray, offsets: np.ndarray, span: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each mask of a span: the hashes of all windows that lie within one text, and where they begin."""
     out = []
-    n = len(hashes) - span + 1
-    if n <= 0:
-        return [(hashes[:0], np.zeros(0, np.int64)) for _ in masks]
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = np.flatnonzero(owner[:n] == owner[span - 1:])
-    for number, mask in enumerate(masks):
+    for number, mask in enumerate(masks_of(span)):
+        width = mask[-1] + 1
+        n = len(hashes) - width + 1
+        if n <= 0:
+            out.append((hashes[:0], np.zeros(0, np.int64)))
+            continue
         own = np.full(n, span * 64 + number, np.uint64)
         for p in mask:
             own += hashes[p:p + n] * words.PLACES[p]
+        at = np.flatnonzero(owner[:n] == owner[width - 1:])
         out.append((words.mixed(own[at]), at))
     return out
 
@@ -66,9 +75,20 @@ def probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(h >> np.uint64(shift)) & mask for h in (hashes, words.mixed(hashes)) for shift in (0, 64 - bits)]
 
 
+def unequal(n: int) -> int:
+    """Words of an item that may be exchanged: one in five."""
+    return n // (LOSS + 1)
+
+
 def masks_of(span: int) -> list[tuple[int, ...]]:
-    """The masks for a window; one shorter than ``SPAN`` looks at all its places."""
-    return [*MASKS] if span == SPAN else [tuple(range(span))]
+    """The masks for items of ``span`` words, or of ``SPAN`` and more."""
+    if span == SPAN:
+        return [*MASKS]
+    if not unequal(span):
+        return [tuple(range(span))]
+    # Any so many exchanged words leave two phases whole.
+    phases = [range(n, span, unequal(span) + 2) for n in range(unequal(span) + 2)]
+    return [tuple(sorted([*a, *b])) for n, a in enumerate(phases) for b in phases[:n]]
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
@@ -80,7 +100,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
             own = hashes[offsets[n]:offsets[n + 1]]
             span = min(len(own), SPAN)
             if span:
-                for h, at in seeds(own, np.array([0, len(own)]), masks_of(span), span):
+                for h, at in seeds(own, np.array([0, len(own)]), span):
                     rows.append((h.view(np.int64), np.full(len(h), item), at))
         columns = [np.concatenate(c) if rows else np.zeros(0, np.int64) for c in (zip(*rows) if rows else [[], [], []])]
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["hash", "item", "at"])
@@ -141,9 +161,10 @@ def stretches(doc: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[
     return best
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, more: tuple[str, ...] = ()) -> DataFrame:
     """(row, doc_id, item_id, n_words, n_equal, first_word, last_word) of every document, of (row, doc_id, text), and
-    item that it holds. Only documents with a hit are written, with their words' hashes.
+    item that it holds. Only documents with a hit are written, with their words' hashes. ``more`` names bigint columns of
+    ``docs`` to carry along.
     """
     spark = docs.sparkSession
     items = benchmark.select(plain(F.col("text")).alias("text"), F.col("item_id").cast("bigint").alias("item_id")).filter(
@@ -159,7 +180,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFr
         hashes, offsets = words.word_hashes(batch.column("text"))
         found_at, found = [], []
         for span in spans:
-            for h, at in seeds(hashes, offsets, masks_of(span), span):
+            for h, at in seeds(hashes, offsets, span):
                 hit = known(sent.value, bits, h)
                 found_at.append(at[hit])
                 found.append(h[hit])
@@ -173,22 +194,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFr
         own = batches.gather(hashes, offsets[:-1][docs_hit], lengths)
         rows = pa.array(docs_hit)
         return pa.RecordBatch.from_arrays(
-            [batch.column("row").take(rows), batch.column("doc_id").take(rows),
+            [*(batch.column(c).take(rows) for c in ("row", "doc_id", *more)),
              batches.int_lists(own.view(np.int64), batches.offsets_of(lengths)),
              batches.int_lists(hit_hashes[order].view(np.int64), hits),
-             batches.int_lists((at - offsets[owner])[order], hits)], ["row", "doc_id", "words", "hashes", "ats"])
+             batches.int_lists((at - offsets[owner])[order], hits)], ["row", "doc_id", *more, "words", "hashes", "ats"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain(F.col("text")).alias("text"),
-                        F.col("row"))
-    hit = written(batches.map_batches(texts, look, "row bigint, doc_id bigint, words array<bigint>, hashes array<bigint>, "
-                                                   "ats array<bigint>"), "hits")
+                        F.col("row"), *more)
+    carried = "".join(f"{c} bigint, " for c in more)
+    hit = written(batches.map_batches(texts, look, f"row bigint, doc_id bigint, {carried}words array<bigint>, "
+                                                   "hashes array<bigint>, ats array<bigint>"), "hits")
     pairs = (hit.select("row", F.explode(F.arrays_zip("hashes", "ats")).alias("h"))
              .select("row", F.col("h.hashes").alias("hash"), F.col("h.ats").alias("doc_at"))
              .join(hashed, "hash").select("row", "item", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct()
              .groupBy("row", "item").agg(F.collect_list("diagonal").alias("diagonals")))
     # The items' texts come first, to the small pairs; the documents' words are shuffled by document only.
     aligned = (pairs.join(items.select("item", "item_id", "text"), "item")
-               .join(hit.select("row", "doc_id", "words"), "row"))
+               .join(hit.select("row", "doc_id", *more, "words"), "row"))
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         theirs, offsets = words.word_hashes(batch.column("text"))
@@ -196,26 +218,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFr
         for n, (own, diagonals) in enumerate(zip(batch.column("words"), batch.column("diagonals").to_pylist())):
             item = theirs[offsets[n]:offsets[n + 1]]
             equal, a, b = stretches(own.values.to_numpy().view(np.uint64), item, diagonals)
-            if equal >= min(least, len(item)):
+            if equal >= min(least, len(item) - unequal(len(item))):
                 rows.append((n, len(item), equal, a, b))
         columns = np.array(rows, np.int64).reshape(-1, 5).T
         at = pa.array(columns[0])
         return pa.RecordBatch.from_arrays(
-            [*(batch.column(c).take(at) for c in ("row", "doc_id", "item_id")), *(pa.array(c) for c in columns[1:])],
-            ["row", "doc_id", "item_id", "n_words", "n_equal", "first_word", "last_word"])
+            [*(batch.column(c).take(at) for c in (*more, "row", "doc_id", "item_id")), *(pa.array(c) for c in columns[1:])],
+            [*more, "row", "doc_id", "item_id", "n_words", "n_equal", "first_word", "last_word"])
 
-    return batches.map_batches(aligned.select("row", "doc_id", "item_id", "text", "words", "diagonals"), verify, FOUND)
+    return batches.map_batches(aligned.select("row", "doc_id", *more, "item_id", "text", "words", "diagonals"), verify,
+                               carried + FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """(row, doc_id, item_id, n_words, n_equal, first_word, last_word): a row for every document and item it holds."""
-    return matches(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), benchmark, least)
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, keyed: bool = False) -> DataFrame:
+    """(row, doc_id, item_id, n_words, n_equal, first_word, last_word): a row for every document and item it holds;
+    with ``keyed``, the document's hashes too."""
+    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    return matches(rows, benchmark, least) if not keyed else matches(
+        rows.withColumns(dict(zip(HASHES, text_hashes(F.col("text"))))), benchmark, least, HASHES)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs`` that hold no item. The rows are numbered and written once; the matches and what takes them
-    out both start from that table."""
-    numbered = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("value")).withColumn(
-        "row", F.monotonically_increasing_id()), "numbered")
-    bad = matches(numbered.select("value.doc_id", "value.text", "row"), benchmark, least).select("row").distinct()
-    return numbered.join(written(bad, "contaminated"), "row", "left_anti").select("value.*")
+    """The rows of ``docs`` that hold no item.
+
+    What holds an item is told by id and text, which stay the same in every scan, so rows need no numbers and no copy.
+    """
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("value"))
+    bad = written(contaminated(docs, benchmark, least, keyed=True).select(*KEY).distinct(), "contaminated")
+    return without(keyed, bad).select("value.*")

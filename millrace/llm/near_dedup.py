@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import batches, words
 from millrace.llm.components import components
+from millrace.llm.content import HASHES, KEY, only, text_hashes, without
 from millrace.session import written
 
 #: Registers of a band, and bands: two sets of similarity 0.8 share no band with a probability below 1e-6.
@@ -88,21 +89,22 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
 
 
 def sketches(docs: DataFrame, size: int, row: Column) -> DataFrame:
-    """(doc_id, row, text_hash, n_shingles, set_hash, registers) of every row; the last two are null where there is no
-    set."""
+    """(doc_id, row, text_hash, text_hash_2, n_shingles, set_hash, registers) of every row; the last two are null where
+    there is no set."""
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = words.shingle_sets(batches.texts(batch), size)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row"), batch.column("text_hash"),
+            [*(batch.column(c) for c in ("doc_id", "row", *HASHES)),
              pa.array([len(s) for s in sets], pa.int64()),
              pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
              pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-            ["doc_id", "row", "text_hash", "n_shingles", "set_hash", "registers"])
+            ["doc_id", "row", *HASHES, "n_shingles", "set_hash", "registers"])
 
     return batches.map_batches(
-        docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"),
-                    row.alias("row")), sketch,
-        "doc_id bigint, row bigint, text_hash bigint, n_shingles bigint, set_hash binary, registers binary", TEXT_BYTES)
+        docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text", row.alias("row"),
+                    *(h.alias(name) for name, h in zip(HASHES, text_hashes(F.col("text"))))), sketch,
+        "doc_id bigint, row bigint, text_hash bigint, text_hash_2 bigint, n_shingles bigint, set_hash binary, "
+        "registers binary", TEXT_BYTES)
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -236,7 +238,8 @@ def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame, perc
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, row: Column | None = None) -> DataFrame:
-    """(doc_id, row, n_shingles, component_id, kept): the component of every row and whether it is its first.
+    """(doc_id, row, text_hash, text_hash_2, n_shingles, component_id, kept): the component of every row and whether it is
+    its first.
 
     The sketches are written once; rows are told apart by ``row`` in that table, a number of ``docs`` or else their place
     in the scan.
@@ -260,23 +263,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, row: Colu
     more = written(remaining_links(large, labels, sets, percent), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    slim = sketched.select("doc_id", "row", "n_shingles", "set_hash")
+    names = ["doc_id", "row", *HASHES, "n_shingles"]
+    slim = sketched.select(*names, "set_hash")
     rows = (slim.filter("n_shingles > 0").join(class_of, "set_hash").join(labels, "node", "left")
-            .select("doc_id", "row", "n_shingles", F.coalesce("label", "node").alias("label"))
+            .select(*names, F.coalesce("label", "node").alias("label"))
             # A row without a set is alone; its place can't be that of a class.
-            .unionByName(slim.filter("n_shingles = 0").select("doc_id", "row", "n_shingles", F.col("row").alias("label"))))
+            .unionByName(slim.filter("n_shingles = 0").select(*names, F.col("row").alias("label"))))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     firsts = rows.groupBy("label").agg(F.min(order).alias("first"))
     return rows.join(firsts, "label").select(
-        "doc_id", "row", "n_shingles", F.col("first.doc_id").alias("component_id"),
+        *names, F.col("first.doc_id").alias("component_id"),
         (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component. The rows are numbered and written once; the sketches
-    and what takes the others out both start from that table."""
-    numbered = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("value")).withColumn(
-        "row", F.monotonically_increasing_id()), "numbered")
-    others = written(near_duplicates(numbered.select("value.doc_id", "value.text", "row"), size, percent, F.col("row"))
-                     .filter("not kept").select("row"), "others")
-    return numbered.join(others, "row", "left_anti").select("value.*")
+    """The rows of ``docs`` that are the first of their component.
+
+    Rows are told by id and text, which stay the same in every scan, so they need no numbers and no copy. Of rows with
+    the same id and text, which are always of one component, any one stays if it is the first.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("value"))
+    marks = written(near_duplicates(docs, size, percent).groupBy(*KEY).agg(
+        F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"), "marks")
+    out = without(rows, marks.select(*KEY))
+    repeated = marks.filter("kept").select(*KEY)
+    if repeated.isEmpty():
+        return out.select("value.*")
+    once = only(rows, repeated).withColumns(dict(zip(KEY, (F.col("value.doc_id").cast("bigint"),
+                                                           *text_hashes(F.col("value.text")))))).dropDuplicates([*KEY])
+    return out.unionByName(once.select("value")).select("value.*")
