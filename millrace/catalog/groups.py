@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.catalog.registry import query
@@ -66,6 +69,45 @@ def reduce_group(t):
                                 "user_id bigint, name string, value double")
 
 
+GAP = 6 * 3600 * 1_000_000
+
+
+def _sessions(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every stretch of a user's events without a gap above the limit, in microseconds."""
+    number, began, last, n = 0, None, None, 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"user_id": [key[0]], "session": [number], "began": [began], "ended": [last], "events": [n]})
+
+    for batch in batches:
+        at = batch.column("micros").to_numpy()
+        cuts = {*np.flatnonzero(np.diff(at, prepend=at[0] if last is None else last) > GAP).tolist()}
+        starts = sorted({0, *cuts})
+        for a, b in zip(starts, [*starts[1:], len(at)]):
+            if last is None or a in cuts:
+                if last is not None:
+                    yield row()
+                number, began, n = number + 1, int(at[a]), 0
+            last, n = int(at[b - 1]), n + b - a
+    if last is not None:
+        yield row()
+
+
+@query("reduce_ordered", """
+    WITH marked AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOUR, false) AS new FROM events
+                    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    numbered AS (SELECT *, 1 + sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                                                               ROWS UNBOUNDED PRECEDING) AS session FROM marked)
+    SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS began, max(ts) AS ended, count(*) AS events
+    FROM numbered GROUP BY user_id, session""")
+def reduce_ordered(t):
+    """Sessions: a gap above six hours between a user's events begins a new one."""
+    events = t.events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    out = groups.reduce_ordered(events, ["user_id"], ["micros", "event_id"], _sessions,
+                                "user_id bigint, session bigint, began bigint, ended bigint, events bigint")
+    return out.withColumns({c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("began", "ended")})
+
+
 @query("shuffle_identity", "SELECT user_id, event_id, event_type FROM events")
 def shuffle_identity(t):
     return groups.grouped_order(t.events.select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])

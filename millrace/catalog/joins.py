@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from millrace.catalog.registry import query
@@ -43,6 +49,38 @@ def join_reduce(t):
     return out.withColumn("dearest", F.round("dearest", 2))
 
 
+def _record_orders(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The customer's row comes first; then, of its orders, each that is dearer than all before it."""
+    segment, most = None, -math.inf
+    for batch in batches:
+        for source, name in zip(batch.column("input").to_pylist(), batch.column("segment").to_pylist()):
+            if source:
+                break
+            segment = name
+        orders = batch.filter(pc.equal(batch.column("input"), 1))
+        price = orders.column("price").to_numpy()
+        before = np.maximum.accumulate(np.append(most, price))
+        if len(price) and segment is not None:
+            new = orders.filter(pa.array(price > before[:-1]))
+            yield pa.RecordBatch.from_pydict({"custkey": new.column("custkey"), "segment": pa.array([segment] * new.num_rows),
+                                              "orderkey": new.column("orderkey"), "price": new.column("price")})
+        most = before[-1]
+
+
+@query("join_reduce_ordered", """
+    SELECT custkey, c_mktsegment AS segment, orderkey, price FROM (
+      SELECT o_custkey AS custkey, o_orderkey AS orderkey, o_totalprice AS price,
+             max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM orders)
+    JOIN customer ON c_custkey = custkey WHERE before IS NULL OR price > before""")
+def join_reduce_ordered(t):
+    customers = t.customer.select(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment"))
+    orders = t.orders.select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"),
+                             F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price"))
+    return joins.join_reduce_ordered(["custkey"], [customers, orders], ["at", "orderkey"], _record_orders,
+                                     "custkey bigint, segment string, orderkey bigint, price double")
+
+
 @query("join_inner", """
     SELECT a.ngram, a."count" AS count00, b."count" AS count12
     FROM frequency a JOIN frequency b ON a.ngram = b.ngram AND a.hour = '00' AND b.hour = '12'""", ("frequency",))

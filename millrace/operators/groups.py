@@ -36,6 +36,7 @@ BUILT_IN = {"+": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "and": F.bool_
             "count": F.count, "&": F.bit_and, "|": F.bit_or, "^": F.bit_xor}
 
 Merge = Callable[[pd.DataFrame], pd.DataFrame]
+Reducer = Callable[[tuple, Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]
 
 # Types that keep nulls apart from numbers, so that whole numbers stay whole.
 _EXACT = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(),
@@ -193,6 +194,60 @@ def reduce_groups(df: DataFrame, keys: Sequence[str], start: Callable[[pd.DataFr
     return each(merge_by_key(each(df, start, state), keys, merge), finish, schema)
 
 
+def reduce_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], reducer: Reducer, schema: str) -> DataFrame:
+    """0..n rows per key from a reducer that sees the key's rows one after the other, in ``order``.
+
+    ``reducer(key, batches)`` gets the key's values and an iterator of Arrow batches of its rows, and gives batches of
+    ``schema``. Rows stream in from the sorted shuffle and results stream out, so a key of any size needs no more memory
+    than a batch; but one task reads all of a key, one after the other, which only ``reduce_groups`` or windows over
+    blocks avoid. Use it where what a row does depends on those before it and no merge of parts can tell.
+    """
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = (out.select(arrow.names).cast(arrow) for key, rows in runs_of_keys(batches, keys) for out in reducer(key, rows))
+        for table in gathered(made, HELD_ROWS):  # many keys of few rows share a batch
+            yield from table.combine_chunks().to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def runs_of_keys(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
+    """(key, batches of its rows) for rows in which those of a key lie together. A key's batches are cut off the stream
+    as they are asked for, and what the caller leaves of them is passed over."""
+    def slices() -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for k in keys:  # codes tell nulls and NaN apart from all else, and take each as equal to itself
+                code = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield tuple(batch.column(k)[a].as_py() for k in keys), batch.slice(a, b - a)
+
+    def same(a: tuple, b: tuple) -> bool:
+        return all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+    stream = slices()
+    ahead = next(stream, None)
+    while ahead is not None:
+        key = ahead[0]
+
+        def own() -> Iterator[pa.RecordBatch]:
+            nonlocal ahead
+            while ahead is not None and same(ahead[0], key):
+                part = ahead[1]
+                ahead = next(stream, None)
+                yield part
+
+        rows = own()
+        yield key, rows
+        for _ in rows:
+            pass
+
+
 def in_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_piece: int = 10_000) -> DataFrame:
     """Add ``rank`` and ``piece``: the place of a row in its group, and the piece of the group it falls in.
 

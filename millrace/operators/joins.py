@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import groups, ordering
+from millrace.operators.rows import tagged_union
 
 ROWS_PER_PIECE = 1_000_000
 
@@ -99,3 +100,14 @@ def join_reduce(fields: Sequence[str], inputs: Sequence[JoinInput], start: Calla
                 finish: Callable, schema: str, how: str = "left") -> DataFrame:
     """0..n rows per join key: all joined rows of a key go through a reducer in three parts (``reduce_groups``)."""
     return groups.reduce_groups(join_inputs(fields, inputs, how=how), fields, start, state, merge, finish, schema)
+
+
+def join_reduce_ordered(fields: Sequence[str], tables: Sequence[DataFrame], order: Sequence[str | Column],
+                        reducer: groups.Reducer, schema: str, tag: str = "input") -> DataFrame:
+    """0..n rows per join key from a reducer that sees the rows of all tables one after the other: those of the first
+    table, then those of the second, and so on, each in ``order``; ``tag`` holds the number of the table.
+
+    Rows are never multiplied: a reducer keeps what it needs of the first tables and lets the rest stream by. Columns that
+    a table does not have are null. See ``groups.reduce_ordered`` for what a hot key means.
+    """
+    return groups.reduce_ordered(tagged_union(tables, tag), fields, [tag, *order], reducer, schema)

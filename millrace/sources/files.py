@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from millrace import fixed_values as fixed
 from millrace.operators import blocks, ordering
-from millrace.operators.rows import check_schema
+from millrace.operators.rows import check_schema, tagged_union  # noqa: F401
 from millrace.session import few_listing_tasks, written
 
 
@@ -94,16 +94,6 @@ def latest(spark: SparkSession, path: str, pick: str = "last") -> str:
     return names[-1 if pick == "last" else 0][1]
 
 
-
-def tagged_union(inputs: Sequence[DataFrame], tag: str = "index") -> DataFrame:
-    """All rows of several inputs with the number of the input each came from; missing columns are null."""
-    tagged = [df.withColumn(tag, F.lit(i)) for i, df in enumerate(inputs)]
-    out = tagged[0]
-    for other in tagged[1:]:
-        out = out.unionByName(other, allowMissingColumns=True)
-    return out
-
-
 def union_paths(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """One scan over several paths."""
     return spark.read.parquet(*_paths(paths))

@@ -1,10 +1,12 @@
 """Operators on small tables, against a plain calculation of the same thing."""
 
+import collections
 import itertools
 import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -434,3 +436,58 @@ def test_join_reduce_reduces_by_the_join_key(spark, rows):
     out = joins.join_reduce(["k"], [joins.JoinInput(a, ["name"]), joins.JoinInput(b, ["v"])], start, schema, merge,
                             lambda s: s, schema)
     assert rows(out) == [(1, 2, 7), (2, 1, 1)]
+
+
+def test_runs_of_keys():
+    """Keys over batch borders, nulls and NaN as keys, and reducers that don't read on."""
+    nan = float("nan")
+    rows = [("a", 1.0)] * 3 + [("a", nan)] * 4 + [(None, nan)] * 2 + [(None, None)] * 3 + [("b", None)]
+    for size in (1, 2, 5, 100):
+        batches = [pa.RecordBatch.from_pylist([{"k": k, "x": x, "n": n + i} for i, (k, x) in enumerate(rows[n:n + size])],
+                                              schema=pa.schema([("k", pa.string()), ("x", pa.float64()), ("n", pa.int64())]))
+                   for n in range(0, len(rows), size)]
+        found = [(repr(key), [n for b in own for n in b.column("n").to_pylist()]) for key, own in groups.runs_of_keys(batches, ["k", "x"])]
+        assert found == [("('a', 1.0)", [0, 1, 2]), ("('a', nan)", [3, 4, 5, 6]), ("(None, nan)", [7, 8]),
+                         ("(None, None)", [9, 10, 11]), ("('b', None)", [12])]
+        assert len(list(groups.runs_of_keys(batches, ["k", "x"]))) == 5  # nothing read of any key
+    assert list(groups.runs_of_keys([], ["k"])) == []
+
+
+def test_ordered_reducer_streams_a_hot_key(spark):
+    """The reducer meets a key's rows in order and in batches, and its results leave before the key is over."""
+    def steps(key, batches):
+        before, batch_number = None, 0
+        for batch in batches:
+            at = batch.column("at").to_pylist()
+            assert at == sorted(at) and (before is None or before <= at[0])
+            batch_number, before = batch_number + 1, at[-1]
+            yield pa.RecordBatch.from_pydict({"key": [key[0]], "number": [batch_number], "rows": [len(at)]})
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "500")
+    try:
+        df = spark.range(30_000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 'hot', concat('k', id % 50))) AS key", "id * 7919 % 30011 AS at")
+        got = groups.reduce_ordered(df, ["key"], ["at"], steps, "key string, number bigint, rows bigint").collect()
+    finally:
+        spark.conf.set(key, kept)
+    total = collections.Counter()
+    for r in got:
+        total[r.key] += r.rows
+    assert total[None] == total["hot"] == 10_000 and sum(total.values()) == 30_000
+    assert max(r.rows for r in got) <= 500 and max(r.number for r in got if r.key == "hot") >= 20
+    assert groups.reduce_ordered(df.limit(0), ["key"], ["at"], steps, "key string, number bigint, rows bigint").count() == 0
+
+
+def test_join_reduce_ordered(spark, rows):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "k int, name string")
+    right = spark.createDataFrame([(1, 5), (1, 3), (2, 9), (3, 1), (None, 2)], "k int, v int")
+
+    def reducer(key, batches):
+        table = pa.Table.from_batches(batches)
+        names = [n for n in table["name"].to_pylist() if n]
+        yield pa.RecordBatch.from_pydict({"k": pa.array([key[0]], pa.int32()), "names": ["".join(names)],
+                                          "values": [",".join(str(v) for v in table["v"].to_pylist() if v is not None)]})
+
+    got = joins.join_reduce_ordered(["k"], [left, right], ["v"], reducer, "k int, names string, values string")
+    assert rows(got) == sorted([(1, "a", "3,5"), (2, "b", "9"), (4, "d", ""), (3, "", "1"), (None, "", "2")], key=repr)
