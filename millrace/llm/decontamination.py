@@ -22,6 +22,8 @@ empty result, an empty benchmark finds nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,6 +44,8 @@ MASKS = (*(tuple(sorted(a + b)) for n, a in enumerate(PHASES) for b in PHASES[:n
 #: Bits of the filter for each benchmark hash, as powers of two, within bounds (2^28 bits: 32 MB).
 LEAST_BITS, MOST_BITS = 20, 28
 FOUND = "row bigint, doc_id bigint, item_id bigint, n_words bigint, n_equal bigint, first_word bigint, last_word bigint"
+#: Bytes of text that are looked through at once.
+TEXT_BYTES = 4 << 20
 #: Between the words of a plain text.
 APART = " "
 
@@ -51,22 +55,21 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", APART))
 
 
-def seeds(hashes: np.ndarray, offsets: np.ndarray, span: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each mask of a span: the hashes of all windows that lie within one text, and where they begin."""
-    out = []
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+def seeds(hashes: np.ndarray, offsets: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each mask of a span, one after the other: the hashes of all windows that lie within one text, and where they
+    begin."""
+    owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     for number, mask in enumerate(masks_of(span)):
         width = mask[-1] + 1
         n = len(hashes) - width + 1
         if n <= 0:
-            out.append((hashes[:0], np.zeros(0, np.int64)))
+            yield hashes[:0], np.zeros(0, np.int64)
             continue
         own = np.full(n, span * 64 + number, np.uint64)
         for p in mask:
             own += hashes[p:p + n] * words.PLACES[p]
         at = np.flatnonzero(owner[:n] == owner[width - 1:])
-        out.append((words.mixed(own[at]), at))
-    return out
+        yield words.mixed(own[at]), at
 
 
 def probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -203,7 +206,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, more: tup
                         F.col("row"), *more)
     carried = "".join(f"{c} bigint, " for c in more)
     hit = written(batches.map_batches(texts, look, f"row bigint, doc_id bigint, {carried}words array<bigint>, "
-                                                   "hashes array<bigint>, ats array<bigint>"), "hits")
+                                                   "hashes array<bigint>, ats array<bigint>", TEXT_BYTES), "hits")
     pairs = (hit.select("row", F.explode(F.arrays_zip("hashes", "ats")).alias("h"))
              .select("row", F.col("h.hashes").alias("hash"), F.col("h.ats").alias("doc_at"))
              .join(hashed, "hash").select("row", "item", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct()

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -583,3 +584,36 @@ def test_empty_tables(spark, make, folder):
     assert quality.score(empty, quality.Network.new(1)).count() == 0
     vectors = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert vector_search.search(vectors, F.lit(True)).count() == 0
+
+
+def test_masks_reach_the_rule():
+    """Every choice of exchanged words that the rule allows leaves a mask whole somewhere, in items of any size; longer
+    stretches hold one of these sizes, since one half of a stretch has at least as few exchanged words for its length."""
+    for n, exchanged in [(k, decontamination.unequal(k)) for k in range(1, 17)] + [(20, 4), (25, 5)]:
+        masks = decontamination.masks_of(min(n, decontamination.SPAN))
+        seen = [sum(1 << (p + at) for p in m) for m in masks for at in range(n - m[-1])]
+        lost = [c for c in itertools.combinations(range(n), exchanged)
+                if all(s & sum(1 << x for x in c) for s in seen)]
+        assert not lost, (n, lost[:3])
+
+
+@pytest.mark.parametrize("n", [5, 8, 11, 13, 15, 16, 20, 27])
+def test_exchanged_words_are_found_end_to_end(spark, make, n):
+    """Seeds, join and verification together: as many words exchanged as the rule allows, at random places and close
+    together, are found; one more in a short item is not."""
+    rng = random.Random(n)
+    item = [f"w{k}" for k in range(n)]
+    allowed = decontamination.unequal(n)
+    docs, right = [], set()
+    for k in range(60):
+        many = allowed if k % 3 else allowed + 1
+        first = rng.randrange(n - many + 1)
+        places = rng.sample(range(n), many) if k % 2 else range(first, first + many)
+        doc = [f"x{rng.randrange(999)}" if p in places else w for p, w in enumerate(item)]
+        equal = [w == v for w, v in zip(doc, item)]
+        most = max((sum(equal[i:j]) for i in range(n) for j in range(i + 1, n + 1) if 5 * sum(equal[i:j]) >= 4 * (j - i)), default=0)
+        if most >= min(decontamination.LEAST, n - allowed):
+            right.add(k)
+        docs.append((k, f"{prose(30, k)} {' '.join(doc)}, {prose(9, k + 1)}"))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    assert len(right) >= 40 and {r.doc_id for r in decontamination.contaminated(make(docs), bench).collect()} == right
