@@ -20,19 +20,20 @@ def _split_up(t):
     return path
 
 
-def _drained(t, updates, keys, schema):
+def _drained(t, rows, reduce, merge):
+    """A stream without state: batches are reduced, their sets merged."""
     target, checkpoint = scratch_path(t.spark, "updates"), scratch_path(t.spark, "progress")
-    state.start_updates(updates, target, checkpoint, keys=keys, compact_every=2).awaitTermination()
-    state.compact(t.spark, target, keys, schema)
-    return state.read_updates(t.spark, target, keys, schema)
+    state.start_updates(rows, target, checkpoint, reduce=reduce, merge=merge, compact_every=2).awaitTermination()
+    schema = reduce(t.spark.createDataFrame([], rows.schema)).schema
+    state.compact(t.spark, target, merge, schema)
+    return state.read_updates(t.spark, target, merge, schema)
 
 
 @query("stream_latest_state", """
     SELECT user_id AS id, max(event_id) AS seq, arg_max(event_type, event_id) AS state FROM events GROUP BY user_id""")
 def stream_latest_state(t):
     saves = _event_stream(t).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
-    updates = state.latest_state(saves)
-    return _drained(t, updates, ["id"], updates.schema)
+    return _drained(t, saves, state.latest_state, state.merged_state)
 
 
 @query("stream_last_n", """
@@ -43,7 +44,8 @@ def stream_last_n(t):
     lines = _event_stream(t).select(F.concat(F.lit("user"), "user_id").alias("source"), F.col("event_id").alias("pos"),
                                     F.col("event_type").alias("line"))
     target, checkpoint = scratch_path(t.spark, "updates"), scratch_path(t.spark, "progress")
-    state.start_updates(state.last_lines(lines), target, checkpoint).awaitTermination()
+    with state.state_in_files(t.spark):
+        state.start_updates(state.last_lines(lines), target, checkpoint, merge=state.merged_lines(), compact_every=2).awaitTermination()
     return state.read_last_lines(t.spark, target)
 
 
@@ -52,5 +54,4 @@ def stream_last_n(t):
            CAST(count(*) FILTER (WHERE event_type <> 'error') AS BIGINT) AS successes FROM events GROUP BY user_id""")
 def stream_run_stats(t):
     runs = _event_stream(t).select(F.concat(F.lit("job"), "user_id").alias("job"), (F.col("event_type") != "error").alias("succeeded"))
-    updates = state.run_stats(runs)
-    return _drained(t, updates, ["job"], updates.schema)
+    return _drained(t, runs, state.run_stats, state.merged_stats)

@@ -2,7 +2,9 @@
 
 import os
 import pathlib
+import random
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,7 +196,8 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path, rows):
 
     def run():
         stream = spark.readStream.schema("source string, pos long, line string").parquet(source)
-        state.start_updates(state.last_lines(stream, n=3, slots=2), target, progress).awaitTermination()
+        with state.state_in_files(spark):
+            state.start_updates(state.last_lines(stream, n=3, slots=2), target, progress).awaitTermination()
         return rows(state.read_last_lines(spark, target, 3), "source", "rank", "line")
 
     arrive([("a", i, f"l{i}") for i in range(5)] + [("b", 0, "only")])
@@ -339,3 +342,90 @@ def test_listing_of_one_directory(spark, tmp_path):
     for page in (100, 2, 1):
         assert sorted(map(tuple, files.list_directory(spark, str(tmp_path), page=page).collect())) == wanted
     assert files.list_directory(spark, str(tmp_path), hidden=True).count() == 4
+
+
+def arrivals(spark, folder, batches, schema):
+    for rows_ in batches:
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.02)  # files are taken in by their times
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_streams_without_state(spark, tmp_path, rows):
+    """Many batches of new ids, and copies that come late: no rows of state, and an older copy never replaces a newer."""
+    rng, batches, newest = random.Random(4), [], {}
+    for n in range(8):
+        own = [(f"new{n}", n, f"s{n}")] + [(f"id{rng.randrange(5)}", s, f"s{s}") for s in rng.sample(range(100), 4)]
+        batches.append(own)
+        for i, seq, _ in own:
+            newest[i] = max(newest.get(i, -1), seq)
+    saves = arrivals(spark, str(tmp_path / "in"), batches, "id string, seq long, state string")
+    target = str(tmp_path / "out")
+    stream = state.start_updates(saves, target, str(tmp_path / "progress"), reduce=state.latest_state, merge=state.merged_state, compact_every=3)
+    stream.awaitTermination()
+    assert all(not p.get("stateOperators") for p in stream.recentProgress)
+    got = state.read_updates(spark, target, state.merged_state, state.latest_state(spark.createDataFrame([], saves.schema)).schema)
+    assert rows(got) == sorted(((i, seq, f"s{seq}") for i, seq in newest.items()), key=repr)
+
+
+@pytest.mark.parametrize("broken_at", [0, 2, 3, 5])
+def test_a_merge_that_breaks_off_counts_nothing_twice(spark, tmp_path, rows, monkeypatch, broken_at):
+    target, schema = str(tmp_path / "sets"), "job string, runs long, successes long"
+    for n in range(4):
+        spark.createDataFrame([("a", 1, n % 2), (f"b{n}", 2, 0)], schema).coalesce(1).write.parquet(f"{target}/batch={n}")
+    wanted = sorted([("a", 4, 2), *[(f"b{n}", 2, 0) for n in range(4)]])
+    types, steps_done = spark.createDataFrame([], schema).schema, [0]
+
+    class Failing:
+        """A file system that stops at one of its changes."""
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            call = getattr(self.fs, name)
+            if name not in ("create", "delete", "rename"):
+                return call
+
+            def step(*a):
+                if steps_done[0] == broken_at:
+                    raise OSError("stopped")
+                steps_done[0] += 1
+                return call(*a)
+            return step
+
+    real = files.file_system
+    with monkeypatch.context() as m:
+        m.setattr(state.files, "file_system", lambda s, p: (Failing(real(s, p)[0]), real(s, p)[1]))
+        with pytest.raises(OSError, match="stopped"):
+            state.compact(spark, target, state.merged_stats, types)
+    assert rows(state.read_updates(spark, target, state.merged_stats, types)) == wanted
+    state.compact(spark, target, state.merged_stats, types)
+    assert rows(state.read_updates(spark, target, state.merged_stats, types)) == wanted
+    assert rows(spark.read.schema(schema).parquet(target).drop("batch")) == wanted
+
+
+def test_a_silent_source_leaves_the_state(spark, tmp_path, rows):
+    schema, target, progress = "source string, pos long, line string", str(tmp_path / "out"), str(tmp_path / "progress")
+
+    def run(data):
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        with state.state_in_files(spark):
+            state.start_updates(state.last_lines(stream, n=3, slots=1, silent_ms=1500), target, progress,
+                                merge=state.merged_lines(3), compact_every=1).awaitTermination()
+        return {(r.source, r.line) for r in state.read_last_lines(spark, target, 3).collect()}
+
+    def held():
+        table = spark.read.format("statestore").option("stateVarName", "lines").load(progress)
+        return {r[0] for r in table.select("key.source").collect()}
+
+    assert run([("quiet", n, f"q{n}") for n in range(3)] + [("loud", n, f"l{n}") for n in range(5)]) == {
+        ("quiet", "q0"), ("quiet", "q1"), ("quiet", "q2"), ("loud", "l2"), ("loud", "l3"), ("loud", "l4")}
+    assert held() == {"quiet", "loud"}
+    time.sleep(2)
+    run([("loud", 5, "l5")])
+    run([("loud", 6, "l6")])
+    assert held() == {"loud"}
+    # What the silent one had said is still in the updates when it speaks again.
+    assert run([("quiet", 3, "q3")]) >= {("quiet", "q1"), ("quiet", "q2"), ("quiet", "q3"), ("loud", "l6")}
+    assert spark.read.parquet(target).count() == 2
