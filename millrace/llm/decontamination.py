@@ -41,8 +41,8 @@ SPAN = 12
 PHASES = tuple(tuple(range(n, SPAN, 4)) for n in range(4))
 #: The places that each mask looks at; a mask's window ends with its last place.
 MASKS = (*(tuple(sorted(a + b)) for n, a in enumerate(PHASES) for b in PHASES[:n]), (0, 1, 2, 7, 9, 10), (0, 1, 3, 4, 5, 6))
-#: Bits of the filter for each benchmark hash, as powers of two, within bounds (2^28 bits: 32 MB).
-LEAST_BITS, MOST_BITS = 20, 28
+#: Bits of the filter for each benchmark hash, and of the whole filter, as powers of two (2^28 bits: 32 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 6, 20, 28
 FOUND = "row bigint, doc_id bigint, item_id bigint, n_words bigint, n_equal bigint, first_word bigint, last_word bigint"
 #: Bytes of text that are looked through at once.
 TEXT_BYTES = 4 << 20
@@ -114,7 +114,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
 def bloom(hashed: DataFrame) -> tuple[np.ndarray, int]:
     """A filter of the hashes, of a size between fixed bounds. Its words are made by Spark and or-ed there."""
     n = hashed.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, n)))) + 4))
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, n)))) + BITS_EACH))
 
     def bit_numbers(batch: pa.RecordBatch) -> pa.RecordBatch:
         h = batch.column("hash").to_numpy().view(np.uint64)
