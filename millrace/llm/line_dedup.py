@@ -1,13 +1,14 @@
 """Lines that several documents hold stay in the first of them only, found by two Bloom filters.
 
-One pass builds two filters of a fixed size, for hashes seen once and seen twice; the partitions' filters are merged
+One pass counts the lines, which gives the filters' size. The next builds two filters, for hashes seen once and seen twice; the partitions' filters are merged
 in a tree, cut into chunks. A second pass asks the twice-seen filter: only lines that it knows are suspects and are
 shuffled, to be confirmed by 128-bit hashes and to find the first document. A filter that is too small makes more
 suspects, never fewer. Texts are shuffled only where a document has suspects.
 
 A line's key is the line without white space at its ends and with A-Z in lower case; only keys of ``least`` code
 points count. Null texts are one empty line. Rows with the same id are one document; those without an id count as one
-document behind all others. Other columns are carried along and can have any names.
+document behind all others. Other columns are carried along and can have any names. A very long text is worked on in whole. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from pyspark.sql import types as T
 from millrace.llm import batches
 from millrace.session import written
 
-#: Bits of each filter (2^27: 16 MB, which is also all that is ever sent to the driver and the workers), the bits
-#: that a line sets, bytes of a chunk, and filters merged at once.
-BITS = 27
+#: Bits of each filter for a line, and of each filter, as powers of two: from 2^20 to 2^30 (128 MB, which is also all
+#: that is ever sent to the driver and the workers). Beyond 2^28 lines the filters fill up and more lines are suspects.
+BITS_EACH, LEAST_BITS, MOST_BITS = 2, 20, 30
+#: The bits that a line sets, bytes of a chunk, and filters merged at once.
 PROBES = 2
 CHUNK = 1 << 16
 FAN = 64
@@ -120,7 +122,7 @@ def merged(chunks: DataFrame) -> DataFrame:
 
 
 def twice_seen(docs: DataFrame, least: int, bits: int) -> np.ndarray:
-    """The filter of what was seen twice, of ``2^bits`` bits whatever the input."""
+    """The filter of what was seen twice, of ``2^bits`` bits."""
     chunks = written(filters(docs, least, bits), "filters")
     parts = (chunks.agg(F.max("part")).first()[0] or 0) + 1
     while True:
@@ -135,17 +137,25 @@ def twice_seen(docs: DataFrame, least: int, bits: int) -> np.ndarray:
     return out
 
 
+def bits_for(docs: DataFrame) -> int:
+    """The size of the filters for all lines of a table, as a power of two."""
+    text = F.coalesce("text", F.lit(""))
+    lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, lines.bit_length() + BITS_EACH))
+
+
 def own_texts(batch: pa.RecordBatch) -> list[bytes]:
     """The texts inside the rows' structs."""
     return batches.as_bytes(pc.fill_null(pc.struct_field(batch.column("value"), ["text"]), ""))
 
 
-def dedup(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST, bits: int | None = None) -> DataFrame:
     """(value, text, n_lines, n_dropped): each row as a struct, its text as kept, its lines before and the dropped.
 
     The rows with their suspects are written once; confirming and dropping both start from that table.
     """
     spark = docs.sparkSession
+    bits = bits or bits_for(docs)
     known = spark.sparkContext.broadcast(twice_seen(docs, least, bits))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("value")).select(
         "value", F.monotonically_increasing_id().alias("row"))
