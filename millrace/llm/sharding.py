@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.session import written
+from millrace.session import written, written_counting
 
-#: Blocks of a shard for its second permutation, as a power of two.
-BLOCK_BITS = 10
+#: Blocks of a shard for its second permutation, as a power of two at least, and rows of a block: a larger table has more.
+BLOCK_BITS, ROWS_PER_BLOCK = 10, 4096
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -91,12 +91,13 @@ def shuffle(df: DataFrame, shards: int = 8, seed: int = 20240611) -> DataFrame:
 
     The rows are written once after the first permutation; the matrix and the exchange both start from that table.
     """
-    placed = written(
+    placed, seen = written_counting(
         df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("value"))
         .withColumn("row", F.monotonically_increasing_id())
         .sortWithinPartitions(F.xxhash64(F.lit(seed), "row"), "row")
         .withColumn("part", F.shiftright("row", 33))
-        .withColumn("pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "permuted")
+        .withColumn("pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "permuted", rows=F.count("*"))
+    bits = max(BLOCK_BITS, (seen["rows"] // (shards * ROWS_PER_BLOCK)).bit_length())
     matrix = written(communication_matrix(placed.groupBy("part").agg(F.count("*").alias("n")), shards, seed), "matrix")
     ends = matrix.select("part", F.expr(
         "transform(room, (x, i) -> aggregate(slice(room, 1, i + 1), 0L, (a, y) -> a + y))").alias("ends"))
@@ -104,7 +105,7 @@ def shuffle(df: DataFrame, shards: int = 8, seed: int = 20240611) -> DataFrame:
     sent = (placed.join(ends, "part")
             .withColumn("shard", F.expr("size(filter(ends, e -> e <= pos))"))
             .select("value", "row", "shard", key.alias("key"),
-                    F.shiftrightunsigned(key, 64 - BLOCK_BITS).alias("block")))
+                    F.shiftrightunsigned(key, 64 - bits).alias("block")))
     before = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     carried = (sent.groupBy("shard", "block").agg(F.count("*").alias("n"))
                .select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carry")))
