@@ -37,6 +37,8 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
 #: An estimate may fall this many standard deviations below the limit before a pair is given up.
 DEVIATIONS = 5.0
+#: Pieces that a bucket's members are dealt into.
+SALTS = 32
 #: Members of one side of a tile.
 TILE = 256
 #: Bytes of text that are taken apart at once.
@@ -215,13 +217,15 @@ def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame, perc
     ``members`` is (key, node, center) of buckets of three classes or more.
     """
     own = (members.filter("node <> center").select("key", "node").join(labels, "node", "left")
-           .withColumn("label", F.coalesce("label", "node")))
+           .withColumn("label", F.coalesce("label", "node")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))))
     by_label = own.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = (by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"),
                                          F.sum("n").alias("n"), F.max("n").alias("largest"))
              .filter("largest < n").select("key", "main", F.ceil(F.col("n") / TILE).alias("blocks"),
                                            F.ceil((F.col("n") - F.col("largest")) / TILE).alias("outer")))
-    open_ = written(own.join(mixed, "key"), "open")
+    # A bucket of any size is dealt out before it meets what is known of it.
+    salted = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    open_ = written(own.join(salted, ["key", "salt"]).drop("salt"), "open")
     deal = F.xxhash64("node")
     outside = (open_.filter("label <> main")
                .select("key", "node", "label", F.pmod(deal, "outer").alias("o"),
