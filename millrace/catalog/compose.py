@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.catalog.registry import query
-from millrace.functions import text
+from millrace.functions import tables, text
 from millrace.operators import groups, rows
 from millrace.plans import phrases, steps
 from millrace.session import scratch_path, written
@@ -39,6 +39,27 @@ def udtf_flatten(t):
                                                       lambda w: F.struct(w.alias("word"))), keep=["conv_id", "turn"])
 
 
+@query("udtf_lateral", r"""
+    SELECT conv_id, turn, CAST(pos - 1 AS INTEGER) AS pos, word FROM (
+      SELECT conv_id, turn, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM (
+        SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS words FROM conversations))""")
+def udtf_lateral(t):
+    """A table function called by name for each row."""
+    tables.register(t.spark)
+    return t.spark.sql("SELECT c.conv_id, c.turn, w.pos, w.word FROM {c} c, LATERAL flatten_words(c.text) w", c=t.conversations)
+
+
+@query("udtf_partitioned", """
+    SELECT conv_id, turn, role, after FROM (
+      SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations)
+    WHERE after <> role""")
+def udtf_partitioned(t):
+    """A table function over a table, its rows dealt by conversation and in the order of turns."""
+    tables.register(t.spark)
+    return t.spark.sql("SELECT * FROM exchanges(TABLE(SELECT conv_id, turn, role FROM {c}) PARTITION BY conv_id ORDER BY turn)",
+                       c=t.conversations)
+
+
 @query("compose_steps", """
     SELECT o_custkey, CAST(count(*) AS INTEGER) AS n, round(sum(o_totalprice), 2) AS spent
     FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey HAVING count(*) > 3""")

@@ -117,7 +117,6 @@ def pairwise(keys: Sequence[str], accumulators: Mapping[str, Callable]) -> Merge
             there = values.notna().to_numpy()
             values, own = values[there], own[there]
             starts = np.flatnonzero(np.diff(own, prepend=-1))
-            column = pd.Series([None] * len(out), dtype=object)
             if isinstance(fn, np.ufunc):
                 folded = fn.reduceat(values.to_numpy(dtype=getattr(values.dtype, "numpy_dtype", None)), starts) if len(
                     starts) else []
@@ -125,9 +124,10 @@ def pairwise(keys: Sequence[str], accumulators: Mapping[str, Callable]) -> Merge
                 items = values.tolist()
                 ends = [*starts[1:], len(items)]
                 folded = [reduce(fn, items[a:b]) for a, b in zip(starts, ends)]
-            for at, value in zip(own[starts], folded):
-                column.iat[at] = value.item() if isinstance(value, np.generic) else value
-            out[name] = column
+            # Folded values in the places of their keys; a key with nulls alone has none.
+            at = pd.Series(folded.tolist() if isinstance(folded, np.ndarray) else folded, index=own[starts], dtype=object)
+            column = at.reindex(range(len(out)))
+            out[name] = column.where(column.index.isin(at.index), None)
         return out[list(rows.columns)]
 
     return merge

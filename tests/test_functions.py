@@ -160,3 +160,15 @@ def test_composed_states_in_full(spark):
 
 def test_labels(spark):
     assert [value(spark, status.label(F.lit(s))) for s in ("IGNORED", "FAILED", "OTHER")] == ["disabled", "failed", "normal"]
+
+
+def test_table_functions(spark, rows):
+    from millrace.functions import tables
+    tables.register(spark)
+    texts = spark.createDataFrame([(1, " a  b\nc"), (2, ""), (3, None), (4, "x")], "id int, t string")
+    got = spark.sql("SELECT id, pos, word FROM {d}, LATERAL flatten_words(t)", d=texts)
+    assert rows(got) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (4, 0, "x")]
+    turns = spark.createDataFrame([(c, t, "ab"[(c + t // 2) % 2]) for c in range(40) for t in range(7)] + [(50, 1, None), (50, 2, "a")],
+                                  "conv_id bigint, turn bigint, role string")
+    got = spark.sql("SELECT * FROM exchanges(TABLE(SELECT * FROM {d}) PARTITION BY conv_id ORDER BY turn)", d=turns)
+    assert rows(got) == sorted(((c, t, "ab"[(c + t // 2) % 2], "ba"[(c + t // 2) % 2]) for c in range(40) for t in (2, 4, 6)), key=repr)
