@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.registry import query
 from millrace.functions import status as status_fn
-from millrace.operators import graph
+from millrace.operators import graph, trees
 from millrace.sources import records
 
 # Everything that failed jobs need, the seed of several queries.
@@ -86,6 +86,27 @@ def dep_tree_json(t):
     return graph.tree(t.nodes, t.edges)
 
 
+@query("dep_tree_pieces", """
+    WITH walk(job, depth) AS (SELECT job, 0 FROM roots UNION SELECT dep, depth + 1 FROM walk JOIN edges ON edges.job = walk.job),
+    met AS (SELECT job, min(depth) AS depth FROM walk GROUP BY job),
+    first AS (SELECT m.job, (SELECT min(e.job) FROM edges e JOIN met p ON p.job = e.job WHERE e.dep = m.job AND p.depth = m.depth - 1) AS parent
+              FROM met m),
+    ways(job, root, way) AS (SELECT job, job, [job] FROM roots
+      UNION ALL SELECT f.job, w.root, list_append(w.way, f.job) FROM ways w JOIN first f ON f.parent = w.job),
+    parts AS (
+      SELECT root, list_append(way, '') AS place, job, 'open' AS kind, way[len(way) - 1] AS above FROM ways
+      UNION ALL SELECT root, list_append(way, '~'), job, 'close', NULL FROM ways
+      UNION ALL SELECT w.root, list_append(list_append(w.way, e.dep), ''), e.dep, 'named', w.job
+      FROM ways w JOIN edges e ON e.job = w.job JOIN first f ON f.job = e.dep WHERE f.parent IS DISTINCT FROM e.job)
+    SELECT root, row_number() OVER (PARTITION BY root ORDER BY place) - 1 AS pos,
+           CASE kind WHEN 'close' THEN ']}' ELSE
+             CASE WHEN above IS NOT NULL AND job > (SELECT min(dep) FROM edges WHERE edges.job = above) THEN ',' ELSE '' END
+             || '{"name":"' || job || '"' || CASE kind WHEN 'open' THEN ',"dependencies":[' ELSE '}' END END AS piece
+    FROM parts""", ("roots", "edges"))
+def dep_tree_pieces(t):
+    return trees.tokens(t.nodes, t.edges)
+
+
 @query("flow_json", """
     SELECT flow, '{"name":"' || job || '","status":"' || status || '"}' AS line, 'node' AS part FROM node_status
     UNION ALL SELECT a.flow, '{"job":"' || e.job || '","dep":"' || e.dep || '"}', 'dependency'

@@ -1,11 +1,12 @@
 """Levels, cycles and reach on graphs of many shapes, against plain Python."""
 
+import json
 import random
 from collections import defaultdict
 
 import pytest
 
-from millrace.operators import graph, paths
+from millrace.operators import graph, paths, trees
 
 
 def reach(edges):
@@ -105,3 +106,42 @@ def test_sets_of_neighbouring_tags_travel_together(spark):
     e = spark.range(30).selectExpr("if(id = 0, 'top', concat('s', id)) AS job", "concat('s', id + 1) AS dep")
     out = graph.closure(seeds, e, ("root",))
     assert out.count() == 200 * 31
+
+
+def nested(root, needs, parents):
+    """The document that the pieces must come to."""
+    def of(job):
+        return {"name": job, "dependencies": [of(d) if parents.get(d) == job else {"name": d} for d in sorted(needs[job])]}
+    return of(root)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pieces_come_to_the_nested_document(spark, seed):
+    rng = random.Random(seed)
+    names = [f'j{v:02}"\\' if v % 9 == 0 else f"j{v:02}" for v in range(40)]
+    edges = {(names[a], names[rng.randrange(a)]) for a in range(1, 40) for _ in range(rng.randint(0, 3))}
+    edges |= {(names[a], names[a - 1]) for a in range(20, 30)} | {(names[5], names[5])}
+    if seed == 2:
+        edges |= {(names[3], names[8]), (names[8], names[3])}  # a cycle that roots may reach
+    needs = defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            needs[a].add(b)
+    roots = sorted(set(names) - {b for a, b in edges if a != b})
+    parents, layer = dict.fromkeys(roots), roots
+    while layer:
+        found = {}
+        for a in sorted(layer):
+            for b in needs[a]:
+                if b not in parents:
+                    found.setdefault(b, a)
+        parents |= found
+        layer = list(found)
+    got = defaultdict(list)
+    for r in trees.tokens(spark.createDataFrame([(x,) for x in names], "job string"),
+                          spark.createDataFrame(list(edges), "job string, dep string")).collect():
+        got[r.root].append((r.pos, r.piece))
+    assert sorted(got) == roots
+    for root, pieces in got.items():
+        assert sorted(p for p, _ in pieces) == list(range(len(pieces)))
+        assert json.loads("".join(text for _, text in sorted(pieces))) == nested(root, needs, parents)
