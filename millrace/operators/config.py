@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import fixed_values as fixed
-from millrace.session import written
+from millrace.session import written, written_counting
 
 
 def chains(scopes: DataFrame) -> DataFrame:
@@ -17,20 +17,22 @@ def chains(scopes: DataFrame) -> DataFrame:
 
     Known stretches are doubled each round, so the number of rounds is the logarithm of the greatest depth.
     """
-    links = scopes.select("scope", "parent").distinct()
-    chain = written(links.select("scope", F.col("scope").alias("ancestor"), F.lit(0).alias("depth")), "chain")
-    jumps = written(links.filter("parent IS NOT NULL"), "jumps")
+    links = written(scopes.select("scope", "parent").distinct(), "links")
+    chain = links.select("scope", F.col("scope").alias("ancestor"), F.lit(0).alias("depth")).distinct()
+    jumps, left = written_counting(links.filter("parent IS NOT NULL"), "jumps", rows=F.count("*"))
     reach = 1
-    while not jumps.isEmpty():
+    while left["rows"]:
         # The chain covers depths below `reach`; a jump goes exactly `reach` levels up.
         above = chain.select(F.col("scope").alias("parent"), "ancestor", "depth")
-        more = written(jumps.join(above, "parent")
-                       .select("scope", "ancestor", (F.col("depth") + reach).alias("depth")), "chain")
-        if not more.filter("scope = ancestor").isEmpty():
+        more, found = written_counting(
+            jumps.join(above, "parent").select("scope", "ancestor", (F.col("depth") + reach).alias("depth")), "chain",
+            own=F.count_if(F.col("scope") == F.col("ancestor")))
+        if found["own"]:
             raise ValueError("a scope is its own ancestor")
         chain = chain.unionByName(more)
-        jumps = written(jumps.alias("a").join(jumps.alias("b"), F.col("a.parent") == F.col("b.scope"))
-                        .select(F.col("a.scope").alias("scope"), F.col("b.parent").alias("parent")), "jumps")
+        jumps, left = written_counting(
+            jumps.alias("a").join(jumps.alias("b"), F.col("a.parent") == F.col("b.scope"))
+            .select(F.col("a.scope").alias("scope"), F.col("b.parent").alias("parent")), "jumps", rows=F.count("*"))
         reach *= 2
     return chain
 
