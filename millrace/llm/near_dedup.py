@@ -13,7 +13,8 @@ merge by the maximum and two sets agree in a register about as often as their Ja
 
 Null and empty texts have no shingles and are linked with nothing. Rows are told apart by their place in the input;
 equal ids are no matter, and null ids come behind all others when a component's first document is chosen. Other
-columns are not looked at. An empty table gives an empty result.
+columns are not looked at. Very long texts are taken apart in whole, a block of shingles at a time. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

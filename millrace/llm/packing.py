@@ -7,7 +7,8 @@ carries its ids all the way. Those of open windows wait in memory, at most ``ope
 apart from the others, so only they take part in the join that moves them.
 
 A document's tokens are its ids and one end id. Null texts count as empty and give a piece of one token. Rows with
-equal or null ids are documents of their own. Other columns are not looked at. An empty table gives no pieces.
+equal or null ids are documents of their own. Very long texts become many full sequences. Other columns are not looked at.
+An empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ with the smallest hash of doc_id; scoring takes place where the texts are, over
 
 Null texts count as empty, which is one chunk of padding. Of labels for one id the greatest counts; labels without
 an id or a value do not. Without any label every score is 0.5. Every row is scored, equal or null ids included.
-Other columns are carried along in a struct and can have any names.
+Very long texts are scored chunk by chunk, in whole. Other columns are carried along in a struct and can have any names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ of symbols. In each round every pre-token finds its pair of the lowest rank and
 those without a pair are done, and their count is what is left of them. No library is asked for the counts.
 
 Null texts count as empty and give 0 tokens and 0 bytes. Every row gives one row, equal ids or not; a null id stays
-null. Other columns are not looked at. White space only gives 0 tokens.
+null. Other columns are not looked at. White space only gives 0 tokens. Very long texts are counted in whole; a long run
+of letters without a break is one pre-token, whose rounds take time with its length. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ stripes can be read by different tasks; a read for some ids skips stripes and ro
 and Bloom filters.
 
 Null texts count as empty. Rows with equal ids stay apart, in the order of the input; null ids come first. Other
-columns of the input are not looked at. An empty table gives an empty set of files.
+columns of the input are not looked at. Very long texts are encoded in whole and make one long row. An empty table gives
+an empty set of files.
 """
 
 from __future__ import annotations

@@ -93,16 +93,44 @@ def test_every_token_is_packed_once(stages):
 
 def test_run_and_the_registered_queries(spark, stages):
     names = set(queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in oracle_sql()
     rows = corpus_pipeline.run(spark, FOLDER)
     assert sum(r.length for r in rows.collect()) == sum(r.length for r in stages[-1][1])
 
 
-@pytest.mark.parametrize("name", ["op3_vector_search", "op6_near_dedup", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_vector_search", "op6_near_dedup", "op8_line_dedup", "op11_hard_negatives"])
 def test_agrees_with_sql(spark, name):
     connection = duckdb.connect()
     for table in check.TABLES:
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{FOLDER}/{table}.parquet')")
     ok, note = check.compare(spark, connection, name, FOLDER)
     assert ok, note
+
+
+def test_run_over_odd_documents(spark, tmp_path):
+    """Nulls, equal ids, a very long text, copies and columns with names that the stages use; then an empty table."""
+    source = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    good = [r for r in source.limit(60).collect()]
+    rows = [(r.doc_id, r.text) for r in good] + [(None, good[3].text), (None, None), (7, None), (7, ""), (5000, good[5].text + " more")]
+    rows += [(5001, " ".join(r.text for r in good) * 3), (good[0].doc_id, good[0].text), (good[0].doc_id, good[0].text)]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr(
+        "*", "length(text) AS n_chars", "1 AS row", "'v' AS value", "2 AS ids", "3 AS text_hash", "4 AS kept", "5 AS `dotted.name`")
+    for name, table in (("odd", odd), ("empty", odd.limit(0))):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{FOLDER}/{other}.parquet").write.parquet(f"{folder}/{other}.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = written(stage(spark, docs, folder), "stage")
+            assert docs.columns == odd.columns
+        lengths = collections.Counter()
+        for r in written(corpus_pipeline.STAGES[-1][1](spark, docs, folder), "packed").collect():
+            lengths[r.doc_id] += r.length
+        library = pretokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+        wanted = collections.Counter()
+        for r in docs.collect():
+            wanted[r.doc_id] += len(library.encode(r.text or "", add_special_tokens=False).ids) + 1
+        assert lengths == wanted and (name == "odd") == bool(wanted)
+    assert docs.count() == 0
