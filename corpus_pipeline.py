@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences: filter, dedup, decontaminate, pack."""
+"""From raw documents to packed sequences: filter, dedup, decontaminate, pack.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. Null texts count as empty, null and
+repeated ids are documents of their own (rows with the same id and text are copies), texts of any length are taken in
+whole, an empty table stays empty, and columns besides doc_id, text and n_chars are carried along under any names.
+"""
 
 from __future__ import annotations
 
