@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace import fixed_values as fixed
 from millrace.catalog.registry import query
+from millrace.operators import ordering
 from millrace.session import scratch_path
 from millrace.streaming import state
 
@@ -43,10 +45,8 @@ def stream_latest_state(t):
 def stream_last_n(t):
     lines = _event_stream(t).select(F.concat(F.lit("user"), "user_id").alias("source"), F.col("event_id").alias("pos"),
                                     F.col("event_type").alias("line"))
-    target, checkpoint = scratch_path(t.spark, "updates"), scratch_path(t.spark, "progress")
-    with state.state_in_files(t.spark):
-        state.start_updates(state.last_lines(lines), target, checkpoint, merge=state.merged_lines(), compact_every=2).awaitTermination()
-    return state.read_last_lines(t.spark, target)
+    cut = state.newest_lines()
+    return ordering.tail_lines(_drained(t, lines, cut, cut), fixed.RING_LINES, keep_blank=True)
 
 
 @query("stream_run_stats", """

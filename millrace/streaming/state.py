@@ -7,8 +7,9 @@ read grows with the keys and not with the batches.
 Where updates of one key can be merged in any order (the newest state, sums), a job keeps no state at all: each batch is
 reduced to a row per key and written, and merging does the rest. A late row then needs no rule of its own: an older copy
 loses to a newer one by its number, whenever it comes, and a count is a count. Keys that are over cost nothing while
-others go on. ``last_lines`` is a job with state, for streams that go on from its results; a source that falls silent
-leaves it.
+others go on. The last lines of a source can be merged so too (``newest_lines``). ``last_lines`` is a job with state, for
+streams that go on from its results: it calls Python for each source and slot of a batch, so it is for few sources that are
+busy; a source that falls silent leaves it.
 """
 
 from __future__ import annotations
@@ -131,6 +132,15 @@ def merged_stats(table: DataFrame) -> DataFrame:
     return table.groupBy("job").agg(F.sum("runs").alias("runs"), F.sum("successes").alias("successes"))
 
 
+def newest_lines(n: int = fixed.RING_LINES) -> Merge:
+    """Of rows (source, pos, line), the last n of each source. It reduces a batch and merges sets alike."""
+    def cut(table: DataFrame) -> DataFrame:
+        last = ordering.top_per_key(table.select("source", "pos", "line"), ["source"], [F.col("pos").desc()], n, "_back")
+        return last.drop("_back")
+
+    return cut
+
+
 LAST_LINES_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("slot", T.IntegerType()),
     T.StructField("lines", T.ArrayType(T.StructType([T.StructField("pos", T.LongType()),

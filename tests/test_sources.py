@@ -429,3 +429,14 @@ def test_a_silent_source_leaves_the_state(spark, tmp_path, rows):
     # What the silent one had said is still in the updates when it speaks again.
     assert run([("quiet", 3, "q3")]) >= {("quiet", "q1"), ("quiet", "q2"), ("quiet", "q3"), ("loud", "l6")}
     assert spark.read.parquet(target).count() == 2
+
+def test_last_lines_without_state_cut_each_batch(spark, tmp_path, rows):
+    schema, arriving, target = "source string, pos long, line string", str(tmp_path / "in"), str(tmp_path / "out")
+    for start in (0, 4, 8):
+        spark.createDataFrame([(s, n, f"{s}{n}") for s in ("a", "b") for n in range(start, start + 4)] + [("c", 1, "same")], schema) \
+            .coalesce(1).write.mode("append").parquet(arriving)
+    stream, cut = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arriving), state.newest_lines(3)
+    state.start_updates(stream, target, str(tmp_path / "progress"), reduce=cut, merge=cut, compact_every=2).awaitTermination()
+    assert spark.read.parquet(target).count() == (3 + 3 + 2) + (3 + 3 + 1)  # a merged set and a batch, three lines a source at most
+    assert rows(state.read_updates(spark, target, cut, stream.schema)) == [
+        (s, n, f"{s}{n}") for s in ("a", "b") for n in (10, 11, 9)] + [("c", 1, "same")] * 3
