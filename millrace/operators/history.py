@@ -11,6 +11,7 @@ from millrace import fixed_values as fixed
 from millrace.functions import times
 from millrace.operators import ordering
 from millrace.operators.joins import equal_keys
+from millrace.session import spread
 
 BLANK = "–"
 
@@ -143,7 +144,8 @@ def upcoming(schedules: DataFrame, until: Column) -> DataFrame:
     seconds = times.period_seconds(times.parse_period("period"))
     span = F.call_function("div", times.micros_between("start", until), F.lit(1_000_000))
     steps = F.when(seconds.isNull(), F.lit(0)).otherwise(F.call_function("div", span, seconds))
-    return (schedules.filter(F.col("start") <= until)
+    # Few bytes of schedules become many runs, so they are dealt out by number: a table of one row group has one reader.
+    return (spread(schedules.filter(F.col("start") <= until))
             .select("name", "start", F.coalesce(seconds, F.lit(0)).alias("_seconds"),
                     F.explode(F.sequence(F.lit(0).cast("bigint"), steps.cast("bigint"))).alias("_k"))
             .select("name", F.timestamp_add("SECOND", F.col("_k") * F.col("_seconds"), F.col("start")).alias("run")))
