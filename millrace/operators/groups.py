@@ -24,6 +24,8 @@ from millrace.operators.ordering import ranked
 #: Rows, and bytes of Arrow data, that a task merges at once.
 HELD_ROWS = 100_000
 HELD_BYTES = 64 << 20
+#: Batches that are held side by side before they are copied into one.
+SMALL_BATCHES = 256
 
 
 def _mashed(name: str) -> Column:
@@ -81,15 +83,19 @@ def merge_by_key(df: DataFrame, keys: Sequence[str], merge: Merge, held: int = H
 def gathered(batches: Iterator[pa.RecordBatch], rows: int, most_bytes: int = HELD_BYTES) -> Iterator[pa.Table]:
     """Batches put together until they hold ``rows`` rows or ``most_bytes``."""
     kept: list[pa.RecordBatch] = []
-    size = weight = 0
+    size = weight = small = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         kept.append(batch)
+        small += 1
+        if small == SMALL_BATCHES:  # a batch of few rows takes many times the memory of the rows
+            kept[-small:] = pa.Table.from_batches(kept[-small:]).combine_chunks().to_batches()
+            small = 0
         size, weight = size + batch.num_rows, weight + batch.nbytes
         if size >= rows or weight >= most_bytes:
             yield pa.Table.from_batches(kept)
-            kept, size, weight = [], 0, 0
+            kept, size, weight, small = [], 0, 0, 0
     if kept:
         yield pa.Table.from_batches(kept)
 

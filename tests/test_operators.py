@@ -491,3 +491,33 @@ def test_join_reduce_ordered(spark, rows):
 
     got = joins.join_reduce_ordered(["k"], [left, right], ["v"], reducer, "k int, names string, values string")
     assert rows(got) == sorted([(1, "a", "3,5"), (2, "b", "9"), (4, "d", ""), (3, "", "1"), (None, "", "2")], key=repr)
+
+
+def test_many_small_batches_are_not_held_side_by_side():
+    import weakref
+    alive = most = 0
+
+    def gone():
+        nonlocal alive
+        alive -= 1
+
+    def small():
+        nonlocal alive, most
+        for n in range(3000):
+            batch = pa.RecordBatch.from_pydict({"n": [n]})
+            weakref.finalize(batch, gone)
+            alive += 1
+            most = max(most, alive)
+            yield batch
+            del batch
+
+    tables = list(groups.gathered(small(), 2500))
+    assert [t.num_rows for t in tables] == [2500, 500]
+    assert [n for t in tables for n in t.column("n").to_pylist()] == list(range(3000))
+    assert most <= groups.SMALL_BATCHES + 2
+
+
+def test_few_schedules_are_expanded_by_many_tasks(spark):
+    df = spark.sql("SELECT 'j' || id AS name, TIMESTAMP_NTZ '2024-01-01' AS start, '1s' AS period FROM range(0, 100, 1, 1)")
+    runs = history.upcoming(df, F.lit("2024-01-01 00:01:00").cast("timestamp_ntz"))
+    assert runs.count() == 6100 and runs.select(F.spark_partition_id()).distinct().count() > 1
