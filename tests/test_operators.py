@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import blocks, config, graph, groups, history, joins, ordering, rows as row_ops, status
 from millrace.operators.joins import JoinInput
+from millrace.plans import phrases
 
 
 def hot_rows(n=3000, seed=1):
@@ -521,3 +522,12 @@ def test_few_schedules_are_expanded_by_many_tasks(spark):
     df = spark.sql("SELECT 'j' || id AS name, TIMESTAMP_NTZ '2024-01-01' AS start, '1s' AS period FROM range(0, 100, 1, 1)")
     runs = history.upcoming(df, F.lit("2024-01-01 00:01:00").cast("timestamp_ntz"))
     assert runs.count() == 6100 and runs.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_few_long_queries_are_taken_apart_by_many_tasks(spark):
+    log = spark.sql("SELECT 'u' AS user, '240101000000' AS time, concat_ws(' ', transform(sequence(1, 50), x -> 'w' || (id * 50 + x))) AS query "
+                    "FROM range(0, 64, 1, 1)")
+    ngrams = phrases.hourly_ngrams(log)
+    plan = ngrams._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("RepartitionByExpression")  # dealt out before there are many rows
+    assert ngrams.count() == 64 * (50 + 49)
