@@ -440,3 +440,24 @@ def test_last_lines_without_state_cut_each_batch(spark, tmp_path, rows):
     assert spark.read.parquet(target).count() == (3 + 3 + 2) + (3 + 3 + 1)  # a merged set and a batch, three lines a source at most
     assert rows(state.read_updates(spark, target, cut, stream.schema)) == [
         (s, n, f"{s}{n}") for s in ("a", "b") for n in (10, 11, 9)] + [("c", 1, "same")] * 3
+
+
+def test_trees_are_listed_and_read_by_tasks(spark, run_tree):
+    found = {r.path.removeprefix(run_tree + "/") for r in files.tree(spark, run_tree).collect()}
+    assert len(found) == 4 * len(ODD_NAMES) and "a%20b/notes/x.log" in found
+    # No list of the files is kept in the plan, where the driver would hold it.
+    assert not [f for f in records.read_runs(spark, run_tree).inputFiles() if "run.properties" in f or f.endswith(".log")]
+
+
+def test_config_files_of_no_and_of_many_scopes(spark, tmp_path):
+    schema, modes = "scope string, key string, value string", str(tmp_path / "modes")
+    entries = [(f"s{n}/?", f"k{i}", f"{n}.{i}") for n in range(40) for i in range(3)] + [(None, "k", "of none")]
+    records.write_config(spark.createDataFrame(entries, schema), modes)
+    assert sorted(map(tuple, records.read_config(spark, modes).collect()), key=repr) == sorted(entries, key=repr)
+    assert spark.read.schema("value string, scope string").text(modes).filter("scope = 's7/?'").count() == 3
+    with pytest.raises(FileExistsError):
+        records.write_config(spark.createDataFrame(entries, schema), modes)
+    records.write_config(spark.createDataFrame(entries[:1], schema), modes, mode="overwrite")
+    assert records.read_config(spark, modes).count() == 1
+    records.write_config(spark.createDataFrame([], schema), str(tmp_path / "none"))
+    assert records.read_config(spark, str(tmp_path / "none")).count() == 0
