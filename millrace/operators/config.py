@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace import fixed_values as fixed
-from millrace.session import written, written_counting
+from millrace.session import spread, written, written_counting
 
 
 def chains(scopes: DataFrame) -> DataFrame:
@@ -114,11 +114,12 @@ def pass_on(edges: DataFrame, outputs: DataFrame, own: DataFrame) -> DataFrame:
     Outputs of a dependency become inputs of the job; the job's own config wins; between dependencies the
     last one by name wins.
     """
-    handed = (edges.join(outputs.withColumnRenamed("job", "dep"), "dep")
-              .groupBy("job", "key").agg(F.max_by(F.struct("value"), "dep").alias("_at"))
-              .select("job", "key", F.col("_at.value").alias("value"), F.lit(1).alias("depth")))
-    everything = own.select("job", "key", "value", F.lit(0).alias("depth")).unionByName(handed)
-    return (everything.groupBy("job", "key").agg(F.min_by(F.struct("value"), "depth").alias("_at"))
+    # Of a job and key its own value comes first, then the last dependency by name. Rows are dealt out before they are
+    # combined, so what a task sorts does not follow the row groups of the tables.
+    handed = edges.join(outputs.withColumnRenamed("job", "dep"), "dep").select("job", "key", "value", F.lit(False).alias("_own"), "dep")
+    mine = own.select("job", "key", "value", F.lit(True).alias("_own"), F.lit(None).cast(edges.schema["dep"].dataType).alias("dep"))
+    return (spread(mine.unionByName(handed)).groupBy("job", "key")
+            .agg(F.max_by(F.struct("value"), F.struct("_own", "dep")).alias("_at"))
             .select("job", "key", F.col("_at.value").alias("value")))
 
 

@@ -531,3 +531,12 @@ def test_few_long_queries_are_taken_apart_by_many_tasks(spark):
     plan = ngrams._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("RepartitionByExpression")  # dealt out before there are many rows
     assert ngrams.count() == 64 * (50 + 49)
+
+
+def test_pass_on_deals_rows_out_before_it_combines_them(spark, rows):
+    edges = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y")], "job string, dep string")
+    outputs = spark.createDataFrame([("x", "k", "1"), ("y", "k", None), ("x", "m", "2"), ("y", "n", "3")], "job string, key string, value string")
+    own = spark.createDataFrame([("a", "n", None), ("c", "k", "4")], "job string, key string, value string")
+    seen = config.pass_on(edges, outputs, own)
+    assert rows(seen) == sorted([("a", "k", None), ("a", "m", "2"), ("a", "n", None), ("b", "k", None), ("b", "n", "3"), ("c", "k", "4")], key=repr)
+    assert "Repartition 4, true" in seen._jdf.queryExecution().optimizedPlan().toString()
