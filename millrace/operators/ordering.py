@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace import fixed_values as fixed
 from millrace.operators import blocks
-from millrace.session import scratch_path
+from millrace.session import scratch_path, written
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -83,18 +83,35 @@ def consecutive_uniq(rows: DataFrame, keys: Sequence[str], pos: str, value: Colu
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str = "rank") -> DataFrame:
-    """Number the rows of each key from 1 in any order, without a task per key.
+    """Number the rows of each key from 1 in any order, without a task per key."""
+    return summed(df, keys, order, F.lit(1).cast("bigint"), out)
 
-    The table is sorted by range and written; the files then are the blocks in which rows are counted.
+
+def summed(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column | str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over a key's rows up to and including this one in any order, without a task per key.
+
+    The table is sorted by range and written; the files then are the blocks in which rows are summed. Only the key that
+    a file begins with can have rows in files before it, so there is at most one carried sum for each file.
     """
-    name, path = "_part", scratch_path(df.sparkSession, "ranked")
+    path = scratch_path(df.sparkSession, "ranked")
     df.orderBy(*keys, *order).write.parquet(path)
     part = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"),
                     F.regexp_extract("_metadata.file_name", r"-c(\d+)", 1).try_cast("int").alias("file"),
                     F.col("_metadata.file_block_start").alias("start"))
+    # A struct is never null itself, so rows with a null key join and group like any other.
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
     rows = (df.sparkSession.read.schema(df.schema).parquet(path)
-            .select(*df.columns, part.alias(name), F.monotonically_increasing_id().alias("_pos")))
-    return blocks.numbered(rows, keys, "_pos", out, width=name).drop(name, "_pos")
+            .select(*df.columns, key.alias("_key"), part.alias("_part"), F.monotonically_increasing_id().alias("_pos"))
+            .withColumn("_value", F.col(value) if isinstance(value, str) else value))
+    first = written(rows.groupBy("_part").agg(F.min("_key").alias("_key")), "first")
+    earlier = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carried = written(rows.join(first.select("_key").distinct(), "_key", "left_semi").groupBy("_key", "_part")
+                      .agg(F.sum("_value").alias("_total")).withColumn("_carry", F.sum("_total").over(earlier))
+                      .join(first, ["_key", "_part"], "left_semi").filter("_carry IS NOT NULL").select("_key", "_part", "_carry"), "carried")
+    inside = W.partitionBy(*(keys or [F.lit(0)]), "_part").orderBy("_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (rows.withColumn(out, F.sum("_value").over(inside)).join(carried, ["_key", "_part"], "left")
+            .withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0))).drop("_key", "_part", "_pos", "_value", "_carry")
+            .select(*df.columns, out))
 
 
 def sort_rows(df: DataFrame, *order: Column | str, reverse: bool = False) -> DataFrame:

@@ -145,3 +145,46 @@ def test_pieces_come_to_the_nested_document(spark, seed):
     for root, pieces in got.items():
         assert sorted(p for p, _ in pieces) == list(range(len(pieces)))
         assert json.loads("".join(text for _, text in sorted(pieces))) == nested(root, needs, parents)
+
+
+def test_a_search_reads_only_edges_to_what_is_not_met(spark, monkeypatch):
+    """Edges are written anew without those to jobs that have been met; results stay those of the whole table."""
+    monkeypatch.setattr(trees, "FEW_EDGES", 4)
+    kept, real = [], trees.written_counting
+
+    def counted(df, name, *a, **k):
+        out = real(df, name, *a, **k)
+        if name == "steps":
+            kept.append(out[1]["rows"])
+        return out
+    monkeypatch.setattr(trees, "written_counting", counted)
+    n = 200
+    edges = {(f"j{k:03}", f"j{d:03}") for k in range(2, n) for d in (k // 2, k // 3)}
+    needs, parents, layer = defaultdict(set), {}, [f"j{k:03}" for k in range(n // 2, n)]
+    for a, b in edges:
+        needs[a].add(b)
+    parents = dict.fromkeys(layer)
+    while layer:
+        found = {}
+        for a in sorted(layer):
+            for b in needs[a]:
+                if b not in parents:
+                    found.setdefault(b, a)
+        parents |= found
+        layer = list(found)
+    e = spark.createDataFrame(sorted(edges), "job string, dep string")
+    roots = spark.range(n // 2, n).selectExpr("concat('j', lpad(id, 3, '0')) AS job")
+    got = [tuple(r) for r in trees.first_met(roots, e).collect()]
+    assert len(got) == len(parents) and dict(got) == parents
+    assert len(kept) >= 3 and kept == sorted(kept, reverse=True) and kept[0] < len(edges)
+
+
+def test_jobs_at_the_top_have_no_part_in_joins_by_pointer(spark):
+    """Half of the jobs point to nothing: their nulls would meet in one task of a left join."""
+    state = spark.createDataFrame([("a", None, 1), ("b", "a", 2), ("c", "b", 4), ("d", None, 8)], "job string, up string, value long")
+    above = state.selectExpr("job AS up", "up AS up_2", "value AS value_2")
+    below = trees._add_below(state, above)
+    assert {r.job: (r.up, r.value) for r in below.collect()} == {"a": (None, 3), "b": (None, 6), "c": ("a", 4), "d": (None, 8)}
+    plan = below._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter, (up" not in plan
+    assert {r.job: r.value for r in trees._doubled(state, trees._add_below).collect()} == {"a": 7, "b": 6, "c": 4, "d": 8}

@@ -540,3 +540,22 @@ def test_pass_on_deals_rows_out_before_it_combines_them(spark, rows):
     seen = config.pass_on(edges, outputs, own)
     assert rows(seen) == sorted([("a", "k", None), ("a", "m", "2"), ("a", "n", None), ("b", "k", None), ("b", "n", "3"), ("c", "k", "4")], key=repr)
     assert "Repartition 4, true" in seen._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sums_in_order_of_keys_over_several_files(spark):
+    """A key over all files, keys at their edges, null keys and no keys at all."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        listed = [(k, i, i % 5 + 1) for k, n in ((None, 40), ("a", 1), ("b", 300), ("c", 2), ("d", 90)) for i in range(n)]
+        df = spark.createDataFrame(listed, "k string, i int, v long").repartition(5)
+        for keys in (["k"], []):
+            got = ordering.summed(df, keys, ["i"] if keys else ["k", "i"], "v", "sum")
+            assert got.columns == ["k", "i", "v", "sum"]
+            wanted, total = {}, defaultdict(int)
+            for k, i, v in listed:
+                total[k if keys else 0] += v
+                wanted[k, i] = total[k if keys else 0]
+            assert {(r.k, r.i): r["sum"] for r in got.collect()} == wanted and got.count() == len(listed)
+        assert ordering.summed(df.limit(0), ["k"], ["i"], "v", "sum").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
