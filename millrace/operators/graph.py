@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.config_values import as_list
 from millrace.operators import paths
-from millrace.session import written, written_counting
+from millrace.session import scratch_path, written, written_counting
 
 
 def dependency_edges(jobs: DataFrame, job: str = "id", dependencies: str = "dependencies") -> DataFrame:
@@ -45,37 +45,57 @@ def pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             .join(known.withColumnRenamed("job", "dependency"), "dependency", "left_semi"))
 
 
+# Tables of reached sets that a round reads at most.
+TABLES = 24
+
+
 def closure(seeds: DataFrame, edges: DataFrame, tags: tuple[str, ...] = (), only: Column | None = None) -> DataFrame:
     """Everything the seeds need, themselves included, each once per tag.
 
     ``seeds`` has the column job and the tag columns; every tag keeps its own reached set. Works on cyclic graphs.
-    ``only`` is a condition on the edges to follow. Tags are numbered, and a row holds which of 64 neighbouring tags have
-    reached a job as bits, so sets that have much in common travel together.
+    ``only`` is a condition on the edges to follow. Tags are numbered in order of their smallest seed, and a row holds
+    which of 64 neighbouring tags have reached a job as bits, so sets that have much in common travel together. A round
+    writes the bits that are new; what is known is written as one table again whenever there are ``TABLES`` of them.
     """
     edges = edges if only is None else edges.filter(only)
-    steps = written(edges.select("job", "dep").distinct(), "steps")
+    steps, spark = written(edges.select("job", "dep").distinct(), "steps"), edges.sparkSession
     if tags:
-        numbers = written(seeds.select(*tags).distinct().withColumn("id", F.monotonically_increasing_id()), "tags")
-        same = reduce(lambda a, b: a & b, [seeds[c].eqNullSafe(numbers[c]) for c in tags])
+        seeds = written(seeds.select("job", *[F.col(c).alias(f"_{c}") for c in tags]), "seeds")
+        names = [f"_{c}" for c in tags]
+        numbers = written(seeds.groupBy(*names).agg(F.min("job").alias("first")).orderBy("first", *names)
+                          .select(*names, F.monotonically_increasing_id().alias("id")), "tags")
+        same = reduce(lambda a, b: a & b, [seeds[c].eqNullSafe(numbers[c]) for c in names])
         started = seeds.join(numbers, same).select("job", "id")
     else:
         started = seeds.select("job", F.lit(0).cast("bigint").alias("id"))
-    first = started.select("job", F.shiftright("id", 6).alias("word"), F.expr("shiftleft(1L, CAST(id & 63 AS INT))").alias("bit"))
-    state, seen = written_counting(
-        first.groupBy("job", "word").agg(F.bit_or("bit").alias("bits")).withColumn("new", F.col("bits")), "reached", rows=F.count("*"))
+    first = started.select("job", F.shiftright("id", 6).alias("word"), F.expr("shiftleft(1L, CAST(id & 63 AS INT))").alias("bits"))
+    none, folders = F.lit(0).cast("bigint"), [scratch_path(spark, "reached")]
+    new, seen = written_counting(first.groupBy("job", "word").agg(F.bit_or("bits").alias("bits")), "reached", folders[0], rows=F.count("*"))
+
+    def known() -> DataFrame:
+        return spark.read.schema(new.schema).parquet(*folders)
+
     while seen["rows"]:
-        told = (state.filter("new <> 0").select("job", "word", "new").join(steps, "job")
-                .groupBy(F.col("dep").alias("job"), "word").agg(F.bit_or("new").alias("got")))
-        had, got = (F.coalesce(c, F.lit(0).cast("bigint")) for c in ("bits", "got"))
-        state, seen = written_counting(
-            state.select("job", "word", "bits").join(told, ["job", "word"], "full").select(
-                "job", "word", had.bitwiseOR(got).alias("bits"), got.bitwiseAND(F.bitwise_not(had)).alias("new")),
-            "reached", rows=F.count_if(F.col("new") != 0))
+        if len(folders) == TABLES:
+            merged = scratch_path(spark, "reached")
+            written(known().groupBy("job", "word").agg(F.bit_or("bits").alias("bits")), "reached", merged)
+            folders = [merged]
+        told = new.join(steps, "job").select(F.col("dep").alias("job"), "word", none.alias("bits"), F.col("bits").alias("got"))
+        both = (known().withColumn("got", none).unionByName(told).groupBy("job", "word")
+                .agg(F.bit_or("bits").alias("bits"), F.bit_or("got").alias("got")))
+        folders.append(scratch_path(spark, "reached"))
+        new, seen = written_counting(
+            both.select("job", "word", F.col("got").bitwiseAND(F.bitwise_not("bits")).alias("bits")).filter("bits <> 0"),
+            "reached", folders[-1], rows=F.count("*"))
     if not tags:
-        return state.select("job")
-    single = state.select("job", F.expr("explode(filter(sequence(0, 63), i -> shiftright(bits, i) & 1L = 1L))").alias("i"), "word")
-    return (single.select("job", (F.shiftleft("word", 6) + F.col("i")).alias("id")).join(numbers, "id")
-            .select(*[c for c in tags if c != "job"], "job"))
+        return known().select("job")
+    state = known().groupBy("job", "word").agg(F.bit_or("bits").alias("bits"))
+    # A word has at most 64 tags, which are put beside its rows before these are taken apart.
+    members = numbers.groupBy(F.shiftright("id", 6).alias("word")).agg(
+        F.collect_list(F.struct(F.expr("shiftleft(1L, CAST(id & 63 AS INT))").alias("bit"), *names)).alias("members"))
+    own = F.explode(F.filter("members", lambda m: m["bit"].bitwiseAND(F.col("bits")) != 0)).alias("m")
+    return (state.join(members, "word").select("job", own)
+            .select(*[F.col("m")[f"_{c}"].alias(c) for c in tags if c != "job"], "job"))
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

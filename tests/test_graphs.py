@@ -108,6 +108,29 @@ def test_sets_of_neighbouring_tags_travel_together(spark):
     assert out.count() == 200 * 31
 
 
+def test_tags_are_neighbours_by_their_first_job_and_rounds_write_what_is_new(spark, monkeypatch):
+    """1,024 roots in shuffled order above one tree: words of them share nearly all, and a row of bits is written once."""
+    counts, real = [], graph.written_counting
+    monkeypatch.setattr(graph, "written_counting", lambda *a, **k: (lambda out: (counts.append(out[1]["rows"]), out)[1])(real(*a, **k)))
+    e = spark.range(2, 2048).selectExpr("concat('j', lpad(id, 4, '0')) AS job", "concat('j', lpad(id div 2, 4, '0')) AS dep")
+    seeds = (spark.range(1024, 2048).selectExpr("concat('j', lpad(id, 4, '0')) AS job").selectExpr("job AS root", "job")
+             .orderBy("root").repartition(4))
+    out = {tuple(r) for r in graph.closure(seeds, e, ("root",)).collect()}
+    assert out == {(f"j{k:04}", f"j{k >> d:04}") for k in range(1024, 2048) for d in range(11)}
+    # 2,047 jobs; those near the top are in the words of all 16 groups of 64 neighbours.
+    assert sum(counts) < 2500
+
+
+@pytest.mark.parametrize("tags", [(), ("root",)])
+def test_closure_over_merged_tables(spark, monkeypatch, tags):
+    monkeypatch.setattr(graph, "TABLES", 3)
+    seeds = spark.createDataFrame([("r", "n0"), ("s", "n4")], "root string, job string")
+    e = spark.range(12).selectExpr("concat('n', id) AS job", "concat('n', if(id = 11, 3, id + 1)) AS dep")
+    got = [tuple(r) for r in graph.closure(seeds, e, tags).collect()]
+    wanted = {("r", f"n{k}") for k in range(12)} | {("s", f"n{k}") for k in range(3, 12)}
+    assert len(got) == len(set(got)) and set(got) == (wanted if tags else {(j,) for _, j in wanted})
+
+
 def nested(root, needs, parents):
     """The document that the pieces must come to."""
     def of(job):
